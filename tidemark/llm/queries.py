@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing, packing, sharding, tokens
+from tidemark.llm import class_lm, fingerprints, mixing, ngram_join, packing, search, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_packing": packing.op4_packing,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_topk_search": search.op6_topk_search,
         "op7_token_files": tokens.op7_token_files,
+        "op8_class_lm": class_lm.op8_class_lm,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk_search": search.SQL}
