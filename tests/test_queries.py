@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
+from tidemark.plans import pool_queries  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 

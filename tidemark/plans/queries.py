@@ -270,6 +270,8 @@ def r01(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from tidemark.plans import pool_queries  # noqa: F401  (it registers its own)
+
     return dict(QUERIES)
 
 
