@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,8 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
 
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _SEGMENT = 1 << 20
+#: Letters up to U+024F but the dotted capital I, whose lower case is two characters; then any marks.
+_PARTS = re.compile(r"((?:(?![×÷ªºİ])[A-Za-z\u00aa\u00ba\u00c0-\u024f])+)([!-/:-@\[-`{-~]*)")
 
 
 class Encoder:
@@ -94,13 +97,13 @@ class Encoder:
     but the tokenizer does not are encoded whole.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most_words, {}
+        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most_words, {}, {}
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
@@ -108,14 +111,21 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
+        """Words of Latin letters with ASCII marks behind them are encoded as two parts, the letters in lower case: the
+        tokenizer does the same, and far fewer parts than words are new."""
         if len(self.words) + len(words) > self.most:
             self.words.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        split = {w: (m[1].lower(), m[2]) if (m := _PARTS.fullmatch(w)) else (w, "") for w in words}
+        unknown = [p for p in {p for two in split.values() for p in two} if p and p not in self.parts]
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
+            for p, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[p] = array("I", got.ids).tobytes()
+        parts = self.parts
+        parts[""] = b""
+        self.words.update({w: parts[a] + parts[b] for w, (a, b) in split.items()})
 
     def segment(self, text: str) -> bytes:
         if _CONTROLS.search(text):
