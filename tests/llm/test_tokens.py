@@ -128,3 +128,17 @@ def test_packing(spark, tok, tmp_path):
 def test_rows_are_all_here(spark, tmp_path):
     table(spark, path=str(tmp_path))
     assert sum(r["documents"] for r in plain(tokens.op2_token_counts(spark, str(tmp_path)))) == len(ROWS)
+
+
+def test_encoder_gives_the_ids_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.shared import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, enc = Tokenizer.from_file(path), Encoder(path, most_words=400)
+    letters = [f"{chr(i)}b, B{chr(i)}!! {chr(i)}" for i in range(0x21, 0x260) if i not in (0x85, 0xA0)]
+    odd = ["It's o'clock' 's x'S ,,a a,, a_b _ <|endoftext|> a<|endoftext|>b <|startoftext|>", "é ́e 中文 ١٢ 🙂| A|", "a" * 3000 + ",,", "", " \t\n"]
+    for text in [*letters, *odd, " ".join(letters)]:
+        assert list(memoryview(enc.ids(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids

@@ -100,10 +100,17 @@ class Encoder:
     def __init__(self, path: str, most_words: int = 500_000):
         import os
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most_words, {}, {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = None  # by id: whether it ends a word, where the vocabulary marks that
+        if any(n.endswith("</w>") for n in names):
+            self.ends = np.zeros(max(names.values()) + 1, bool)
+            self.ends[[i for n, i in names.items() if n.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
@@ -111,22 +118,42 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Words of Latin letters with ASCII marks behind them are encoded as two parts, the letters in lower case: the
-        tokenizer does the same, and far fewer parts than words are new."""
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
+        """Words of Latin letters with ASCII marks behind them are encoded as two parts, the letters in lower case, where
+        the tokenizer marks word ends: it does the same, and far fewer parts than words are new."""
         if len(self.parts) > self.most:
             self.parts.clear()
-        split = {w: (m[1].lower(), m[2]) if (m := _PARTS.fullmatch(w)) else (w, "") for w in words}
-        unknown = [p for p in {p for two in split.values() for p in two} if p and p not in self.parts]
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            for p, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[p] = array("I", got.ids).tobytes()
+        found = {w: _PARTS.fullmatch(w) if self.ends is not None else None for w in words}
+        split = {w: (m[1].lower(), m[2]) if m else (w, "") for w, m in found.items()}
+        whole = {w for w, m in found.items() if not m}
+        unknown = {p for two in split.values() for p in two if p and p not in self.parts}
+        self._learn_runs([p for p in unknown if p not in whole])
+        self._learn_alone([p for p in unknown if p in whole])
         parts = self.parts
         parts[""] = b""
         self.words.update({w: parts[a] + parts[b] for w, (a, b) in split.items()})
 
+    def _learn_alone(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for p, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[p] = array("I", got.ids).tobytes()
+
+    def _learn_runs(self, parts: list[str]) -> None:
+        """Parts that are letters or marks only end in exactly one id with a word end; 64 of them are encoded as one text."""
+        import numpy as np
+
+        runs = [parts[at : at + 64] for at in range(0, len(parts), 64)]
+        for at in range(0, len(runs), 64):
+            some = runs[at : at + 64]
+            for run, got in zip(some, self.tokenizer.encode_batch_fast([" ".join(r) for r in some], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype="<u4")
+                stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stop) != len(run) or stop[-1] != len(ids):
+                    self._learn_alone(run)
+                    continue
+                data = ids.tobytes()
+                self.parts.update({p: data[4 * a : 4 * b] for p, a, b in zip(run, [0, *stop], stop, strict=False)})
+
     def segment(self, text: str) -> bytes:
         if _CONTROLS.search(text):
             return self._whole(text)
@@ -135,10 +162,10 @@ class Encoder:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            self._learn([w for w in set(words) if w not in known])
-            missing = [w for w in set(words) if w not in known]  # the cache was emptied meanwhile
-            if missing:
-                self._learn(missing)
+            need = set(words)
+            if len(known) + len(need.difference(known)) > self.most:
+                known.clear()
+            self._learn(list(need.difference(known)))
             return b"".join([known[w] for w in words])
 
     def ids(self, text: str | None) -> bytes:
