@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from tidemark.plans import pool_queries  # noqa: F401
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans import queries as registry
+
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

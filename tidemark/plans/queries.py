@@ -269,11 +269,16 @@ def r01(s, d):
     return x.agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-def queries() -> dict[str, Query]:
-    from tidemark.plans import pool_queries  # noqa: F401  (it registers its own)
+def _register() -> None:
+    """The other modules of queries register their own when they are imported."""
+    from tidemark.plans import accuracy_queries, pool_queries, preparation_queries  # noqa: F401
+
 
+def queries() -> dict[str, Query]:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)
