@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,3 +153,47 @@ def rolling_last(daily: DataFrame, rows: int = 30) -> DataFrame:
     day = daily.groupBy("sector", "date").agg(F.avg("value").alias("value"))
     roll = day.withColumn("value", F.avg("value").over(W.partitionBy("sector").orderBy("date").rowsBetween(-(rows - 1), 0)))
     return roll.groupBy("sector", month("date").alias("month")).agg(F.max_by("value", "date").alias("value"))
+
+
+def pair_correlations(series: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b, n, r) of every pair of tickets a < b with common dates: their number and the correlation on them, null
+    where either does not vary there. series: (ticket, date, value), values not null.
+
+    Tickets are dealt by hash into blocks of about `block`; each pair of blocks is one task's work, so that any two
+    tickets meet once.
+    """
+    blocks = max(1, -(-series.select("ticket").distinct().count() // block))
+    x = series.select("ticket", "date", F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("ticket"), F.lit(blocks)).cast("int").alias("block"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = x.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ticket", "date", "value")
+    return met.groupBy("i", "j").applyInArrow(_block_correlations, "a string, b string, n long, r double")
+
+
+def _block_correlations(t: pa.Table) -> pa.Table:
+    names, row = np.unique(np.asarray(t.column("ticket").to_pylist(), object), return_inverse=True)
+    dates, col = np.unique(t.column("date").to_numpy(), return_inverse=True)
+    value, there = np.zeros((len(names), len(dates))), np.zeros((len(names), len(dates)), bool)
+    value[row, col], there[row, col] = t.column("value").to_numpy(), True
+    block = np.zeros(len(names), np.int64)
+    block[row] = t.column("block").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    right, out = np.flatnonzero(block == j), ([], [], [], [])
+    for k in np.flatnonzero(block == i):
+        o = right[right > k] if i == j else right
+        both = there[k] & there[o]
+        n = both.sum(1)
+        o, both, n = o[n > 0], both[n > 0], n[n > 0]
+        if not len(o):
+            continue
+        dev, flat = [], np.zeros(len(o), bool)
+        for v in (np.broadcast_to(value[k], both.shape), value[o]):
+            flat |= np.where(both, v, np.inf).min(1) == np.where(both, v, -np.inf).max(1)
+            dev.append(np.where(both, v - (np.where(both, v, 0).sum(1) / n)[:, None], 0))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = (dev[0] * dev[1]).sum(1) / np.sqrt((dev[0] ** 2).sum(1) * (dev[1] ** 2).sum(1))
+        out[0].extend(min(names[k], names[x]) for x in o)
+        out[1].extend(max(names[k], names[x]) for x in o)
+        out[2].append(n)
+        out[3].append(np.where(flat, np.nan, r))
+    n, r = np.concatenate([*out[2], np.empty(0)]), np.concatenate([*out[3], np.empty(0)])
+    return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string()), "n": pa.array(n.astype(np.int64)), "r": pa.array(r, mask=np.isnan(r))})

@@ -96,6 +96,15 @@ def j12(s, d):
     return rounded(j.groupBy(F.col("a.ticket").alias("a"), F.col("b.ticket").alias("b")).agg(F.count("*").alias("n"), F.corr("a.growth", "b.growth").alias("r")), "r", places=5)
 
 
+@query("j12_all_pairs", " SELECT a.ticket AS a, b.ticket AS b, count(*) AS n, round(corr(a.growth, b.growth), 5) AS r FROM qgrowth a JOIN qgrowth b ON a.date = b.date AND a.ticket < b.ticket WHERE a.growth IS NOT NULL AND b.growth IS NOT NULL GROUP BY 1, 2")
+def j12_all(s, d):
+    """Correlation of all pairs of series."""
+    from tidemark.testbed import meta
+
+    g = panel.quarterly_growth(panel.to_quarter(obs(s, d), meta(s, d))).filter("growth is not null")
+    return rounded(panel.pair_correlations(g.withColumnRenamed("growth", "value")), "r", places=5)
+
+
 @query("a30_spec_trim", POOL + ", m AS (SELECT spec, vintage, sqrt(avg(pow(pred - actual, 2))) AS rmse FROM readings GROUP BY 1, 2), k AS (SELECT spec, median(rmse) AS med FROM m GROUP BY 1) SELECT spec, round(med, 5) AS med FROM k WHERE med <= (SELECT median(med) FROM k)")
 def a30(s, d):
     """Specifications whose median error is not above the median of medians."""
