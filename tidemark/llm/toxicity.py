@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A document is read as overlapping windows of 32 words, 16 apart; its score comes from its most toxic window. Each word
+A document is read as overlapping windows of 32 words, 16 apart; its score comes from its most toxic window. A word of
+more than 64 characters, as in scripts without white space, is read as pieces, each of them a step like a word. Each word
 enters the network twice: as an embedding of the word, and as the pooled embeddings of its character five-grams, so
 unseen forms of known stems count. The network is trained in numpy on a bounded sample of labelled documents: windows
 of toxic documents are chosen anew in each round as those the network finds most toxic.
@@ -26,11 +27,24 @@ ROUNDS, LEAST_STEPS, BATCH, RATE, THRESHOLD, CACHE = 6, 150, 64, 0.01, 0.3, 150_
 #: One in so many documents of each class is kept from training and only sets the calibration.
 CALIBRATE = 5
 SIZE = WORD + CHAR
+#: Characters up to which a word is one step; characters of the pieces of longer words, and what neighbours share.
+LONGEST, PIECE, OVERLAP = 64, 32, 4
+
+
+def steps(text: str) -> list[str]:
+    """Words in lower case, long ones cut into consecutive pieces."""
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        out += [w] if len(w) <= LONGEST else [w[i : i + PIECE] for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
 
 
 def cells(word: str) -> tuple[int, list[int]]:
     """Table cells of a word and of its five-grams of UTF-8 bytes, ends marked."""
-    raw = f"^{word[:64]}$".encode()
+    raw = f"^{word}$".encode()
     return crc32(raw) % CELLS, [crc32(raw[i : i + GRAM], 1) % CELLS for i in range(max(1, len(raw) - GRAM + 1))]
 
 
@@ -221,7 +235,7 @@ def _prior(net: Network, texts: list[list[str]], label: np.ndarray) -> None:
 def train(texts: list[str], label: np.ndarray, toxic_share: float, seed: int = 7) -> Network:
     """Train on whole documents. toxic_share: of all labelled documents; it sets the calibration, since the sample is balanced."""
     net, g = Network.new(seed), np.random.default_rng(seed)
-    docs, label = [t.lower().split() for t in texts], np.asarray(label, np.int64)
+    docs, label = [steps(t) for t in texts], np.asarray(label, np.int64)
     keep = [i for i, ws in enumerate(docs) if ws]
     docs, label = [docs[i] for i in keep], label[keep]
     net.share = toxic_share
@@ -329,7 +343,7 @@ def document_scores(net: Network, texts: list[str | None]) -> list[float]:
     for i, t in enumerate(texts):
         before: list[str] = []
         for part in segments(t or "", 1 << 18):
-            words = part.lower().split()
+            words = steps(part)
             group.append(before + words)
             owner.append(i)
             before = words[-(WINDOW - 1) :]
