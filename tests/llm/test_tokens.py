@@ -137,7 +137,7 @@ def test_encoder_gives_the_ids_of_the_whole_text():
     from tidemark.llm.shared import Encoder
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    plain, enc = Tokenizer.from_file(path), Encoder(path, most_words=400)
+    plain, enc = Tokenizer.from_file(path), Encoder(path, most_bytes=80_000)
     letters = [f"{chr(i)}b, B{chr(i)}!! {chr(i)}" for i in range(0x21, 0x260) if i not in (0x85, 0xA0)]
     odd = ["It's o'clock' 's x'S ,,a a,, a_b _ <|endoftext|> a<|endoftext|>b <|startoftext|>", "é ́e 中文 ١٢ 🙂| A|", "a" * 3000 + ",,", "", " \t\n"]
     for text in [*letters, *odd, " ".join(letters)]:

@@ -28,18 +28,22 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for b in batches:
             rows: dict[str, list] = {n: [] for n in [*names, *["ids"] * with_ids]}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.ids(text.as_py()) + last
-                total = len(ids) // 4
-                for at in range(0, total, length):
-                    part = ids[4 * at : 4 * (at + length)]
-                    for n, v in zip(names, (doc, at, len(part) // 4, crc(part), total), strict=True):
-                        rows[n].append(v)
-                    if with_ids:
-                        rows["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
+            docs, row = b.column(0).to_pylist(), 0
+            for n, ids, ends in enc.batches(b.column(1)):
+                flat = np.insert(ids, ends, end_id).astype("<u4", copy=False)  # behind each document's ids
+                first = 0
+                for doc, last in zip(docs[row : row + n], (ends + np.arange(1, n + 1)).tolist(), strict=True):
+                    for at in range(first, last, length):
+                        part = flat[at : min(at + length, last)]
+                        for c, v in zip(names, (doc, at - first, len(part), crc(part), last - first), strict=True):
+                            rows[c].append(v)
+                        if with_ids:
+                            rows["ids"].append(part.astype(np.int32))
+                    first = last
+                row += n
             out = {n: pa.array(rows[n], pa.int64()) for n in names}
             if with_ids:
                 out["ids"] = pa.array(rows["ids"], pa.list_(pa.int32()))

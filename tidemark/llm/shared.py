@@ -9,10 +9,15 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 #: Key that stands for a null doc_id where a total order is needed; nulls come first.
 NULL_KEY = -(2**63)
 
@@ -83,21 +88,26 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
     return df, [first[b] for b in used]
 
 
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_CONTROLS = "[\x1c-\x1f]"
 _SEGMENT = 1 << 20
+#: Bytes of text that are split into words at a time, and bytes of word parts and ids that the cache holds about.
+_CHUNK, _CACHE = 4 << 20, 80 << 20
 #: Letters up to U+024F but the dotted capital I, whose lower case is two characters; then any marks.
-_PARTS = re.compile(r"((?:(?![×÷ªºİ])[A-Za-z\u00aa\u00ba\u00c0-\u024f])+)([!-/:-@\[-`{-~]*)")
+_PARTS = r"^(?P<letters>[A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
-    """Encode texts word by word, with a bounded cache of the ids of each word.
+    """Encode texts word by word, with a bounded cache of the ids of words.
 
     The tokenizers used here drop white space and never join pieces across it, so the ids of a text are those of its
-    white-space separated words, one after the other. Texts with the four control characters that Python splits at
-    but the tokenizer does not are encoded whole.
+    white-space separated words, one after the other. Texts with the four control characters that Python and Arrow split
+    at but the tokenizer does not are encoded whole.
+
+    Words of Latin letters with ASCII marks behind them are two parts, the letters in lower case, where the tokenizer
+    marks word ends: it does the same, and far fewer parts than words are new. Any other word is one part.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_bytes: int = _CACHE):
         import os
 
         import numpy as np
@@ -105,7 +115,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most_words, {}, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most_bytes
+        self.parts, self.held = {}, 0
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = None  # by id: whether it ends a word, where the vocabulary marks that
         if any(n.endswith("</w>") for n in names):
@@ -117,21 +128,6 @@ class Encoder:
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Words of Latin letters with ASCII marks behind them are encoded as two parts, the letters in lower case, where
-        the tokenizer marks word ends: it does the same, and far fewer parts than words are new."""
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        found = {w: _PARTS.fullmatch(w) if self.ends is not None else None for w in words}
-        split = {w: (m[1].lower(), m[2]) if m else (w, "") for w, m in found.items()}
-        whole = {w for w, m in found.items() if not m}
-        unknown = {p for two in split.values() for p in two if p and p not in self.parts}
-        self._learn_runs([p for p in unknown if p not in whole])
-        self._learn_alone([p for p in unknown if p in whole])
-        parts = self.parts
-        parts[""] = b""
-        self.words.update({w: parts[a] + parts[b] for w, (a, b) in split.items()})
-
     def _learn_alone(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
@@ -154,19 +150,23 @@ class Encoder:
                 data = ids.tobytes()
                 self.parts.update({p: data[4 * a : 4 * b] for p, a, b in zip(run, [0, *stop], stop, strict=False)})
 
+    def _known(self, parts: list[str], runs: list[bool]) -> list[bytes]:
+        """Ids of distinct parts. runs: which of them are letters only or marks only."""
+        known = self.parts
+        new = [(p, r) for p, r in zip(parts, runs, strict=True) if p not in known]
+        if new and self.held > self.most:
+            known.clear()
+            self.held, new = 0, list(zip(parts, runs, strict=True))
+        self._learn_runs([p for p, r in new if r and p])
+        self._learn_alone([p for p, r in new if not r])
+        known[""] = b""
+        self.held += sum(200 + 3 * len(p) for p, _ in new)  # an entry takes some 200 bytes besides its part and ids
+        return [known[p] for p in parts]
+
     def segment(self, text: str) -> bytes:
-        if _CONTROLS.search(text):
-            return self._whole(text)
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            need = set(words)
-            if len(known) + len(need.difference(known)) > self.most:
-                known.clear()
-            self._learn(list(need.difference(known)))
-            return b"".join([known[w] for w in words])
+        import pyarrow as pa
+
+        return self._whole(text) if re.search(_CONTROLS, text) else self._run(pa.array([text]))[0].tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
@@ -176,6 +176,59 @@ class Encoder:
             return self.segment(text)
         return b"".join(self.segment(x) for x in segments(text))
 
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of the texts, in order: how many texts, their ids one after the other, and where each text's ids end.
+        Each run's words are looked up once; very long texts and those with control characters are runs by themselves."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        alone = np.flatnonzero((np.diff(size) > _SEGMENT) | pc.match_substring_regex(texts, _CONTROLS).to_numpy(zero_copy_only=False))
+        at, n = 0, len(texts)
+        stops = [*alone.tolist(), n]
+        for stop in stops:
+            while at < stop:
+                end = min(stop, max(at + 1, int(np.searchsorted(size, size[at] + _CHUNK, "right")) - 1))
+                yield end - at, *self._run(texts.slice(at, end - at))
+                at = end
+            if at < n:
+                ids = np.frombuffer(self.ids(texts[at].as_py()), "<u4")
+                yield 1, ids, np.asarray([len(ids)])
+                at += 1
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.utf8_split_whitespace(texts)  # at the same characters as str.split, with empty words at the ends
+        words = split.flatten().dictionary_encode()
+        distinct, code = words.dictionary, words.indices.to_numpy()
+        n = len(distinct)
+        whole, both = np.ones(n, bool), distinct
+        if self.ends is not None:
+            two = pc.extract_regex(distinct, _PARTS)
+            whole = pc.is_null(two).to_numpy(zero_copy_only=False)
+            letters, marks = (pc.struct_field(two, k) for k in ("letters", "marks"))
+            both = pa.concat_arrays([pc.coalesce(pc.utf8_lower(letters), distinct), marks.fill_null("")])
+        parts = both.dictionary_encode()
+        place = parts.indices.to_numpy()
+        runs = np.ones(len(parts.dictionary), bool)
+        runs[place[:n][whole]] = False
+        data = self._known(parts.dictionary.to_pylist(), runs.tolist())
+        each = np.asarray([len(x) for x in data], np.int64) // 4
+        flat, start = np.frombuffer(b"".join(data), "<u4"), np.cumsum(each) - each
+        if len(place) > n:  # each word is its letters' ids and its marks' ids
+            code = np.stack([place[:n][code], place[n:][code]], 1).ravel()
+        else:
+            code = place[code]
+        length = each[code]
+        end = np.cumsum(length)
+        took = np.arange(end[-1] if len(end) else 0) + np.repeat(start[code] - end + length, length)
+        last = (split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py())[1:]
+        return flat[took], np.concatenate([[0], end])[last * (2 if len(place) > n else 1)]
+
 
 def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
     """Parts of a very long text, cut only at plain spaces or line ends."""

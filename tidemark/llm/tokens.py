@@ -39,8 +39,10 @@ def lengths(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(tokenizer), Counter()
         for b in batches:
-            for text in b.column(0):
-                seen[len(enc.ids(text.as_py())) // 4 + end] += 1
+            for _, _, ends in enc.batches(b.column(0)):
+                n, times = np.unique(np.diff(ends, prepend=0) + end, return_counts=True)
+                for length, k in zip(n.tolist(), times.tolist(), strict=True):
+                    seen[length] += k
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "documents": pa.array(list(seen.values()), pa.int64())})
 
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "length long, documents long").groupBy("length").agg(F.sum("documents").alias("documents"))
@@ -80,7 +82,7 @@ def truncated_total(hist: DataFrame, limits: list[int]) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents, each with one end token."""
-    return histogram(lengths(documents(spark, sf_dir), default_tokenizer(), end=1))
+    return histogram(stored(lengths(documents(spark, sf_dir), default_tokenizer(), end=1)))
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -202,7 +204,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
         import uuid
 
         enc, (out, top) = encoder(tokenizer), _files(folder)
-        last = np.asarray([end_id], f"<u{width}").tobytes()
         shard, sink, keys, offsets, done = None, None, [], [0], []
         name = uuid.uuid4().hex
 
@@ -215,16 +216,23 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
             done.append((shard, len(keys), offsets[-1]))
 
         for b in batches:
-            for s, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if s != shard:
-                    if sink:
-                        close()
-                    shard, keys, offsets, name = s, [], [0], uuid.uuid4().hex
-                    sink = out.open_output_stream(f"{top}/{name}.bin")
-                ids = enc.ids(text.as_py())
-                sink.write((ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()) + last)
-                keys.append(key)
-                offsets.append(offsets[-1] + len(ids) // 4 + 1)
+            shards, names, row = b.column(0).to_numpy(), b.column(1).to_numpy(), 0
+            for n, ids, ends in enc.batches(b.column(2)):
+                flat = np.insert(ids.astype(f"<u{width}"), ends, end_id)  # behind each document's ids
+                ends = ends + np.arange(1, n + 1)
+                edges = np.flatnonzero(np.diff(shards[row : row + n])) + 1
+                for a, z in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+                    if shards[row + a] != shard:
+                        if sink:
+                            close()
+                        shard, keys, offsets, name = int(shards[row + a]), [], [0], uuid.uuid4().hex
+                        sink = out.open_output_stream(f"{top}/{name}.bin")
+                    first = int(ends[a - 1]) if a else 0
+                    sink.write(flat[first : int(ends[z - 1])].tobytes())
+                    keys.extend(names[row + a : row + z].tolist())
+                    base = offsets[-1] - first
+                    offsets.extend((ends[a:z] + base).tolist())
+                row += n
         if sink:
             close()
         yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in done], pa.int64()) for i, k in enumerate(("shard", "documents", "tokens"))})
@@ -241,7 +249,29 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
     return spark.createDataFrame(table, "shard long, documents long, tokens long, base long, first_key long")
 
 
-def read_keys(keys: DataFrame, folder: str) -> DataFrame:
+def lookup_tasks(spark: SparkSession, shards: int | None) -> int:
+    """Tasks read whole payloads for a few bytes of keys, so their number follows the shards, not the size of the keys."""
+    return max(1, min(shards, 100_000)) if shards else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def payload_rows(payload: pa.NativeFile, index: ShardIndex, at: np.ndarray, most: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
+    """The ordinals of documents with their ids as little-endian unsigned 32-bit integers. Neighbours are read at once,
+    up to `most` bytes or one document."""
+    lo, hi = index.offsets[at] * index.width, index.offsets[at + 1] * index.width
+    a = 0
+    while a < len(at):
+        z = a + 1
+        while z < len(at) and lo[z] == hi[z - 1] and hi[z] - lo[a] <= most:
+            z += 1
+        payload.seek(int(lo[a]))
+        data = np.frombuffer(payload.read(int(hi[z - 1] - lo[a])), f"<u{index.width}").astype("<u4").tobytes()
+        for k in range(a, z):
+            x, y = (int(v - lo[a]) // index.width * 4 for v in (lo[k], hi[k]))
+            yield int(at[k]), data[x:y]
+        a = z
+
+
+def read_keys(keys: DataFrame, folder: str, shards: int | None = None) -> DataFrame:
     """Look keys up: (shard, key, ordinal, local_start, n_tokens, ids_crc32), one row per document of each (shard, key) row.
 
     Each task opens the index of a shard, hashes its keys to slots, compares fingerprints and reads just those ids.
@@ -262,16 +292,18 @@ def read_keys(keys: DataFrame, folder: str) -> DataFrame:
                         index = ShardIndex(f.read())
                     payload = out.open_input_file(f"{top}/shard-{s:08d}.bin")
                 first, count = index.find(mine)
-                for key, at, n in zip(mine.tolist(), first.tolist(), count.tolist(), strict=True):
-                    for i in range(at, at + n):
-                        lo, hi = int(index.offsets[i]), int(index.offsets[i + 1])
-                        payload.seek(lo * index.width)
-                        ids = np.frombuffer(payload.read((hi - lo) * index.width), f"<u{index.width}").astype("<u4")
-                        for c, v in zip(rows, (s, key, i, lo, hi - lo, crc(ids.tobytes())), strict=True):
-                            rows[c].append(v)
+                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())  # ordinals of all documents found
+                for i, ids in payload_rows(payload, index, at):
+                    rows["ordinal"].append(i)
+                    rows["ids_crc32"].append(crc(ids))
+                rows["shard"] += [s] * len(at)
+                rows["key"] += np.repeat(mine, count).tolist()
+                rows["local_start"] += index.offsets[at].tolist()
+                rows["n_tokens"] += (index.offsets[at + 1] - index.offsets[at]).tolist()
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
-    return keys.select(F.col("shard").cast("long"), F.col("key").cast("long")).repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(look, schema)
+    slim = keys.select(F.col("shard").cast("long"), F.col("key").cast("long"))
+    return slim.repartition(lookup_tasks(slim.sparkSession, shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(look, schema)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +320,7 @@ def file_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     keys = docs.select(order_key().alias("key")).distinct()
     firsts = [(r["first_key"], r["shard"]) for r in manifest.select("first_key", "shard").collect()]
     keys = _to_shard(keys, firsts)
-    found = read_keys(keys, folder)
+    found = read_keys(keys, folder, len(firsts))
     return found.join(manifest, "shard").select(
         F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )
