@@ -16,6 +16,8 @@ from tidemark.llm.shared import documents, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, LEVELS, BITS = 1.5, 2, 5, 12
+#: Sources (of some 100 bytes each) up to which a budget is broadcast.
+BROADCAST = 20_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -83,6 +85,11 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     )
 
 
+def few(budget: DataFrame) -> DataFrame:
+    """A budget of few enough sources to send to every task; a larger one is joined by shuffle."""
+    return F.broadcast(budget) if budget.limit(BROADCAST + 1).count() <= BROADCAST else budget
+
+
 def mixed(sized: DataFrame, budget: DataFrame, whole: bool = False) -> DataFrame:
     """Add source_size, target and taken to every document of measured().
 
@@ -94,7 +101,7 @@ def mixed(sized: DataFrame, budget: DataFrame, whole: bool = False) -> DataFrame
     if whole:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
     more = F.when(F.col("hash") < F.col("low"), F.col("size")).when(F.col("hash") < F.col("high"), part).otherwise(0)
-    return sized.join(budget, same).select(*[sized[c] for c in sized.columns], "source_size", "target", (F.col("copies") * F.col("size") + more).cast("long").alias("taken"))
+    return sized.join(few(budget), same).select(*[sized[c] for c in sized.columns], "source_size", "target", (F.col("copies") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +126,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     source = F.col("source").cast("string")
     rows = docs.withColumn("_mix_size", F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))).withColumn("_mix_hash", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)), 4))
     budget = budget.withColumnsRenamed({c: f"_mix_{c}" for c in budget.columns})
-    rows = rows.join(budget, source.eqNullSafe(F.col("_mix_source")))
+    rows = rows.join(few(budget), source.eqNullSafe(F.col("_mix_source")))
     part = F.floor(F.col("_mix_rest") / F.greatest(F.col("_mix_edge"), F.lit(1)))
     more = F.when(F.col("_mix_hash") < F.col("_mix_low"), 1).when((F.col("_mix_hash") < F.col("_mix_high")) & (part * 2 >= F.col("_mix_size")), 1).otherwise(0)
     times = F.when(F.col("_mix_size") == 0, 1).otherwise(F.col("_mix_copies") + more).cast("int")

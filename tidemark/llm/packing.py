@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc, documents, encoder, stored
+from tidemark.llm.shared import crc, documents, encoder, lean, stored
 from tidemark.llm.tokens import default_tokenizer
 
 LENGTH, END, GROUP = 2048, 1, 8192
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
                 out["ids"] = pa.array(rows["ids"], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def first_fit(sizes: list[int], room: int) -> tuple[list[int], list[int]]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import lean, stored
 
 PIVOTS, SAMPLE, BLOCK, SCALE = 32, 1024, 2048, 1024
 
@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
             n = [len(s) for s in best.score]
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(own, n)), "vec_id": pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)]).astype(np.int64)), "score": pa.array(np.rint(np.concatenate([*best.score, np.empty(0)])).astype(np.int64))})
 
-        found = pivot_table.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = pivot_table.mapInArrow(lean(run), "query_id long, vec_id long, score long")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,66 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
     return df, [first[b] for b in used]
 
 
+def give_back() -> None:
+    """Hand freed memory of this process back to the system: workers are used again for other work, and keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run as a function for mapInArrow that gives memory back when a task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+SIEVE = 1 << 24
+
+
+class Sieve:
+    """A bit for each hash of a set of long keys: rows whose bit is not set are surely not among them, and need not meet
+    them in a shuffle. It has SIEVE bits at any size, so with very many keys it holds fewer rows back, and a join behind
+    it gives the same rows."""
+
+    def __init__(self, keys: DataFrame):
+        import numpy as np
+
+        at = keys.select(F.shiftrightunsigned(F.xxhash64(keys.columns[0]), 40).cast("int").alias("at")).distinct().toArrow().column("at")
+        bits = np.zeros(SIEVE, bool)
+        bits[at.to_numpy()] = True
+        self.shared = keys.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def rows(self, df: DataFrame, key: str, among: bool = True) -> DataFrame:
+        """Rows of df whose long column `key` may be among the keys, or those that surely are not. Null keys are neither."""
+        shared, columns = self.shared, df.columns
+        marked = df.withColumn("_at", F.when(F.col(key).isNotNull(), F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long")), 40).cast("int")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+            import pyarrow as pa
+
+            bits = np.frombuffer(shared.value, np.uint8)
+            for b in batches:
+                at = b.column(len(columns))
+                place = at.fill_null(0).to_numpy()
+                hit = (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
+                yield b.select(range(len(columns))).filter(pa.array((hit == among) & at.is_valid().to_numpy(zero_copy_only=False)))
+
+        return marked.mapInArrow(run, df.schema)
+
+
 _CONTROLS = "[\x1c-\x1f]"
 _SEGMENT = 1 << 20
 #: Bytes of text that are split into words at a time, and bytes of word parts and ids that the cache holds about.

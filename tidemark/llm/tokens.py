@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import NULL_KEY, crc, documents, encoder, order_key, range_buckets, scratch, stored
+from tidemark.llm.shared import NULL_KEY, crc, documents, encoder, lean, order_key, range_buckets, scratch, stored
 
 BAND = 4096
 
@@ -45,7 +45,7 @@ def lengths(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
                     seen[length] += k
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "documents": pa.array(list(seen.values()), pa.int64())})
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "length long, documents long").groupBy("length").agg(F.sum("documents").alias("documents"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "length long, documents long").groupBy("length").agg(F.sum("documents").alias("documents"))
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
     out, top = _files(folder)
     out.create_dir(top, recursive=True)
     spread = dealt.select(F.col("bucket").alias("shard"), "_key", "text").repartition("shard").sortWithinPartitions("shard", "_key", "text")
-    manifest = stored(spread.mapInArrow(write, "shard long, documents long, tokens long"))
+    manifest = stored(spread.mapInArrow(lean(write), "shard long, documents long, tokens long"))
     rows, base = sorted((r["shard"], r["documents"], r["tokens"]) for r in manifest.collect()), 0
     table = []
     for shard, n, tokens in rows:  # one row for each shard
@@ -303,7 +303,7 @@ def read_keys(keys: DataFrame, folder: str, shards: int | None = None) -> DataFr
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
     slim = keys.select(F.col("shard").cast("long"), F.col("key").cast("long"))
-    return slim.repartition(lookup_tasks(slim.sparkSession, shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(look, schema)
+    return slim.repartition(lookup_tasks(slim.sparkSession, shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(lean(look), schema)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc_of_id, documents, segments
+from tidemark.llm.shared import crc_of_id, documents, give_back, lean, segments
 
 WINDOW, STRIDE, HIDDEN, WORD, CHAR, CELLS, GRAM = 32, 16, 8, 6, 6, 2**15, 5
 #: Labelled documents per class that training may collect.
 SAMPLE = 2000
-ROUNDS, LEAST_STEPS, BATCH, RATE, THRESHOLD, CACHE = 6, 150, 64, 0.01, 0.3, 150_000
+ROUNDS, LEAST_STEPS, BATCH, RATE, THRESHOLD, CACHE = 6, 150, 64, 0.01, 0.3, 100_000
 #: One in so many documents of each class is kept from training and only sets the calibration.
 CALIBRATE = 5
 SIZE = WORD + CHAR
+#: Characters of a text that are read at a time.
+PART = 1 << 18
 #: Characters up to which a word is one step; characters of the pieces of longer words, and what neighbours share.
 LONGEST, PIECE, OVERLAP = 64, 32, 4
 
@@ -80,7 +82,9 @@ class Network:
 
     # ------------------------------------------------------------ inputs
 
-    def inputs(self, words: list[str]) -> np.ndarray:
+    def inputs(self, words: list[str], most: int = 20_000) -> np.ndarray:
+        if len(words) > most:
+            return np.concatenate([self.inputs(words[i : i + most]) for i in range(0, len(words), most)])
         got = [cells(w) for w in words]
         flat = np.asarray([c for _, cs in got for c in cs], np.int64)
         n = np.asarray([len(cs) for _, cs in got])
@@ -180,7 +184,19 @@ class Network:
         """Logit of every window of one document's words."""
         return self.many([words], most)[0]
 
-    def many(self, texts: list[list[str]], most: int = 4096) -> list[np.ndarray]:
+    def tops(self, texts: list[list[str]], place: bool = False, most_words: int = 60_000) -> list[float]:
+        """The largest window logit of each document, or the window that has it. Documents run in groups of about
+        most_words words, so that memory does not follow their number."""
+        out, group, held = [], [], 0
+        for i, ws in enumerate(texts):
+            group.append(ws)
+            held += len(ws)
+            if held > most_words or i == len(texts) - 1:
+                out += [int(x.argmax()) if place else float(x.max()) for x in self.many(group)]
+                group, held = [], 0
+        return out
+
+    def many(self, texts: list[list[str]], most: int = 2048) -> list[np.ndarray]:
         """Window logits of several documents, run together in blocks of `most` windows."""
         if not texts:
             return []
@@ -253,7 +269,7 @@ def train(texts: list[str], label: np.ndarray, toxic_share: float, seed: int = 7
     for turn in range(max(ROUNDS, -(-LEAST_STEPS * BATCH // (2 * len(docs))))):
         net.cache, net.gates = {}, None
         if turn:
-            chosen = [int(x.argmax()) for x in net.many(docs)]
+            chosen = net.tops(docs, place=True)
         else:
             chosen = []
             for ws in docs:
@@ -287,7 +303,7 @@ def train(texts: list[str], label: np.ndarray, toxic_share: float, seed: int = 7
     net.cache, net.gates = {}, None
     if spare.any():
         docs, label = [d for d, out in zip(every, spare, strict=True) if out], every_label[spare]
-    top = np.asarray([x.max() for x in net.many(docs)], np.float64)
+    top = np.asarray(net.tops(docs), np.float64)
     net.cache, net.gates = {}, None
     _calibrate(net, top, label, toxic_share)
     return net
@@ -323,12 +339,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").toArrow().to_pylist()  # at most 2 x sample ids
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.asarray([r["toxic"] for r in rows]), share.get(1, 0) / sum(share.values()))
+    net = train([r["text"] for r in rows], np.asarray([r["toxic"] for r in rows]), share.get(1, 0) / sum(share.values()))
+    del rows
+    give_back()
+    return net
 
 
 def document_scores(net: Network, texts: list[str | None]) -> list[float]:
-    """Score of each whole text, over all its windows; a very long text is read in parts that overlap by a window. Texts
-    without words score as if their only window were empty: the same for all of them."""
+    """Score of each whole text, over all its windows; a very long text is read in parts, with the same windows as if it
+    were read at once. Texts without words score as if their only window were empty: the same for all of them."""
     group: list[list[str]] = []
     owner: list[int] = []
     best, held = np.full(len(texts), -np.inf), 0
@@ -341,13 +360,18 @@ def document_scores(net: Network, texts: list[str | None]) -> list[float]:
         owner.clear()
 
     for i, t in enumerate(texts):
-        before: list[str] = []
-        for part in segments(t or "", 1 << 18):
-            words = steps(part)
-            group.append(before + words)
-            owner.append(i)
-            before = words[-(WINDOW - 1) :]
-            held += len(words)
+        words: list[str] = []
+        parts = segments(t or "", PART)
+        part = next(parts, "")
+        while part is not None:
+            words, part = words + steps(part), next(parts, None)
+            whole = max(0, (len(words) - WINDOW) // STRIDE + 1)  # windows that further words do not change
+            use = words if part is None else words[: (whole - 1) * STRIDE + WINDOW] if whole else []
+            words = words[whole * STRIDE :]
+            if use:
+                group.append(use)
+                owner.append(i)
+                held += len(use)
             if held > 60_000:
                 flush()
                 held = 0
@@ -363,7 +387,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             got = document_scores(net, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64()), pa.array([int(x >= THRESHOLD) for x in got], pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
@@ -374,7 +398,7 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([x < THRESHOLD for x in document_scores(net, b.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
