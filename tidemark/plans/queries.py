@@ -271,7 +271,7 @@ def r01(s, d):
 
 def _register() -> None:
     """The other modules of queries register their own when they are imported."""
-    from tidemark.plans import accuracy_queries, panel_queries, pool_queries, preparation_queries, shaping_queries  # noqa: F401
+    from tidemark.plans import accuracy_queries, panel_queries, pool_queries, preparation_queries, shaping_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
