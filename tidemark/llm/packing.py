@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc, documents, encoder, lean, stored
+from tidemark.llm.shared import crc, documents, encoder, lean, small_batches, stored
 from tidemark.llm.tokens import default_tokenizer
 
 LENGTH, END, GROUP = 2048, 1, 8192
@@ -25,6 +25,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END, with_ids: bool = False) -> DataFrame:
     """Every document's ids (and end_id) cut into pieces of at most `length`. Null and empty texts are end_id alone.
     with_ids adds the ids of each piece."""
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import functools
 import re
 import tempfile
 import uuid
@@ -89,6 +88,17 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
     return df, [first[b] for b in used]
 
 
+#: Rows that Spark sends to a Python worker at a time: whole texts are long, and each worker and JVM holds several batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows at a time to Python workers from now on, if the session sends more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def give_back() -> None:
     """Hand freed memory of this process back to the system: workers are used again for other work, and keep it otherwise."""
     import ctypes
@@ -109,6 +119,7 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from run(batches)
         finally:
+            clear_words()
             give_back()
 
     return wrapped
@@ -152,7 +163,7 @@ class Sieve:
 _CONTROLS = "[\x1c-\x1f]"
 _SEGMENT = 1 << 20
 #: Bytes of text that are split into words at a time, and bytes of word parts and ids that the cache holds about.
-_CHUNK, _CACHE = 4 << 20, 80 << 20
+_CHUNK, _CACHE = 4 << 20, 48 << 20
 #: Letters up to U+024F but the dotted capital I, whose lower case is two characters; then any marks.
 _PARTS = r"^(?P<letters>[A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
@@ -303,10 +314,21 @@ def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
         at = end
 
 
-@functools.lru_cache(2)
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One per Python worker, so that its cache outlives a task."""
-    return Encoder(path)
+    """One per Python worker and vocabulary file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def clear_words() -> None:
+    """Forget the ids of words: the next task of this worker may be of another kind, and need the room."""
+    for e in _encoders.values():
+        e.parts.clear()
+        e.held = 0
 
 
 def crc(data: bytes) -> int:

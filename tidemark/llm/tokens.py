@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import NULL_KEY, crc, documents, encoder, lean, order_key, range_buckets, scratch, stored
+from tidemark.llm.shared import NULL_KEY, crc, documents, encoder, lean, order_key, range_buckets, scratch, small_batches, stored
 
 BAND = 4096
 
@@ -36,6 +36,8 @@ def lengths(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """(length, documents): how many documents have each encoded length. Tasks count before anything is shuffled.
     Null and empty texts have length `end` (the number of end tokens counted)."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(tokenizer), Counter()
         for b in batches:
@@ -193,6 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
     (shard, documents, tokens, base): base counts the ids of all shards before.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(order_key().alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, starts = range_buckets(slim, "_key", rows_per_shard)
     from tokenizers import Tokenizer

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc_of_id, documents, give_back, lean, segments
+from tidemark.llm.shared import crc_of_id, documents, give_back, lean, segments, small_batches
 
 WINDOW, STRIDE, HIDDEN, WORD, CHAR, CELLS, GRAM = 32, 16, 8, 6, 6, 2**15, 5
 #: Labelled documents per class that training may collect.
@@ -327,6 +327,7 @@ def _calibrate(net: Network, top: np.ndarray, label: np.ndarray, share: float) -
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on at most `sample` documents per class, those of smallest id hash, among labelled rows whose
     crc32(doc_id) mod 4 is not 2. Rows with a null id or label teach nothing."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(crc_of_id() % 4 != 2).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ids = {}
