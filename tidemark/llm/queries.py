@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": search.SQL}
+    return {"op5_ngram_join": ngram_join.SQL, "op6_topk_search": search.SQL}
