@@ -125,39 +125,25 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return wrapped
 
 
-SIEVE = 1 << 24
+SIEVE = 1 << 21
 
 
 class Sieve:
-    """A bit for each hash of a set of long keys: rows whose bit is not set are surely not among them, and need not meet
-    them in a shuffle. It has SIEVE bits at any size, so with very many keys it holds fewer rows back, and a join behind
-    it gives the same rows."""
+    """Hash buckets of a set of long keys: rows in no such bucket are surely not among them, and need not meet them in a
+    shuffle. There are SIEVE buckets at any size, which bounds what is broadcast; with very many keys fewer rows are held
+    back, and a join behind it gives the same rows."""
 
     def __init__(self, keys: DataFrame):
-        import numpy as np
+        self.buckets = stored(keys.select(self._bucket(F.col(keys.columns[0])).alias("_sieve")).distinct())
 
-        at = keys.select(F.shiftrightunsigned(F.xxhash64(keys.columns[0]), 40).cast("int").alias("at")).distinct().toArrow().column("at")
-        bits = np.zeros(SIEVE, bool)
-        bits[at.to_numpy()] = True
-        self.shared = keys.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    @staticmethod
+    def _bucket(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("long")), F.lit(SIEVE)).cast("int")
 
     def rows(self, df: DataFrame, key: str, among: bool = True) -> DataFrame:
         """Rows of df whose long column `key` may be among the keys, or those that surely are not. Null keys are neither."""
-        shared, columns = self.shared, df.columns
-        marked = df.withColumn("_at", F.when(F.col(key).isNotNull(), F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long")), 40).cast("int")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-            import pyarrow as pa
-
-            bits = np.frombuffer(shared.value, np.uint8)
-            for b in batches:
-                at = b.column(len(columns))
-                place = at.fill_null(0).to_numpy()
-                hit = (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
-                yield b.select(range(len(columns))).filter(pa.array((hit == among) & at.is_valid().to_numpy(zero_copy_only=False)))
-
-        return marked.mapInArrow(run, df.schema)
+        kind = "left_semi" if among else "left_anti"
+        return df.filter(F.col(key).isNotNull()).join(F.broadcast(self.buckets), self._bucket(F.col(key)) == F.col("_sieve"), kind)
 
 
 _CONTROLS = "[\x1c-\x1f]"
