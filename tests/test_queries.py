@@ -29,7 +29,7 @@ def norm(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     want = con.sql(SQL[name])

@@ -33,3 +33,9 @@ def spec_parts(name: Column, pattern: str = r"^([A-Za-z]+)#?(\d+)(.*)$") -> list
 
 def vintage_name(v: Column) -> Column:
     return F.format_string("p%+d", v)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, marks off, runs of anything else one underscore, none at the ends."""
+    plain = F.translate(F.lower(text), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_|_$", "")

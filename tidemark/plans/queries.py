@@ -20,9 +20,13 @@ CAL = ", span AS (SELECT ticket, min(date) AS a, max(date) AS b FROM obs GROUP B
 BY, QS = "OVER (PARTITION BY ticket ORDER BY date)", "CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)"
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
+    """Register a query; without SQL, where SQL cannot express it, tests hold it against brute force."""
+
     def put(f: Query) -> Query:
-        QUERIES[name], SQL[name] = f, CTE + sql
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = CTE + sql
         return f
 
     return put
@@ -271,7 +275,7 @@ def r01(s, d):
 
 def _register() -> None:
     """The other modules of queries register their own when they are imported."""
-    from tidemark.plans import accuracy_queries, panel_queries, pool_queries, preparation_queries, shaping_queries, source_queries  # noqa: F401
+    from tidemark.plans import accuracy_queries, panel_queries, pool_queries, preparation_queries, selection_queries, shaping_queries, site_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

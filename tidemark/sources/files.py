@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.texts import slug
+
 
 def folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder; where spark.checkpoint.dir is unset, as in tests, in a temporary one."""
@@ -16,6 +18,13 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, read from a table in the shared folder: lost executors cost no recomputation, and plans stay short."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv_series(spark: SparkSession, path: str, pattern: str = "M/d/yyyy") -> DataFrame:
     """(ticket, date, value) of CSV files with columns seq, ticket, date, value; of rows with one date the last counts."""
     x = spark.read.csv(path, header=True, schema="seq long, ticket string, date string, value double")
@@ -71,3 +80,36 @@ def named_months(rows: DataFrame) -> DataFrame:
 def upserted(stored: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows of new take the place of stored ones with the same keys."""
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new).orderBy(*keys).select(*keys, value)
+
+
+def keyword_list(rows: DataFrame) -> DataFrame:
+    """(keyword, geo, col) of a term list (seq, keyword, geo, col): trimmed, blanks dropped, of repeated terms and places
+    the first; those without a column get one from the term and the place."""
+    x = rows.withColumn("keyword", F.trim("keyword")).filter("keyword <> ''").groupBy("keyword", "geo").agg(F.min_by("col", "seq").alias("col"))
+    return x.select("keyword", "geo", F.coalesce(F.nullif("col", F.lit("")), automatic("keyword", "geo")).alias("col"))
+
+
+def automatic(term: str, geo: str) -> Column:
+    place = F.coalesce(F.nullif(F.lower(geo), F.lit("")), F.lit("worldwide"))
+    return F.concat_ws("_", F.lit("gtrends"), slug(F.col(term)), place)
+
+
+def matched_columns(asked: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(term, geo, col): a term that one row of the list has takes its column, else the row of its place, else a new name."""
+    k = keywords.withColumn("slug", slug(F.col("keyword")))
+    one = k.groupBy("slug").agg(F.count("*").alias("rows"), F.first("col").alias("only"))
+    placed = k.groupBy("slug", F.upper("geo").alias("place")).agg(F.count("*").alias("same"), F.first("col").alias("there"))
+    x = asked.withColumn("slug", slug(F.col("term"))).withColumn("place", F.upper("geo")).join(one, "slug", "left").join(placed, ["slug", "place"], "left")
+    col = F.when(F.col("rows") == 1, F.col("only")).when(F.col("same") == 1, F.col("there")).otherwise(automatic("term", "geo"))
+    return x.select("term", "geo", col.alias("col"))
+
+
+def html_cells(pages: DataFrame, html: str) -> DataFrame:
+    """One row per cell of a page's table: the other columns, row from 0, name from the head, text without tags."""
+    found = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    bare = lambda text: F.trim(F.regexp_replace(text, "<[^>]*>", ""))
+    keep = [c for c in pages.columns if c != html]
+    x = pages.withColumn("names", found(F.col(html), "th")).withColumn("body", F.element_at(found(F.col(html), "tbody"), 1))
+    x = x.select(*keep, "names", F.posexplode(found(F.col("body"), "tr")).alias("row", "line"))
+    x = x.select(*keep, "names", "row", F.posexplode(found(F.col("line"), "td")).alias("at", "cell"))
+    return x.select(*keep, "row", bare(F.get("names", F.col("at"))).alias("name"), bare(F.col("cell")).alias("text"))
