@@ -11,15 +11,14 @@ from tidemark.llm.shared import documents
 
 
 def ranked(rows, every=100, k=10):
-    vec = {}
+    vec = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            x = tuple(int(np.floor(1024 * float(np.float32(c)))) for c in v)
-            vec[i] = min(vec.get(i, x), x)
+            vec.append((i, tuple(int(np.floor(1024 * float(np.float32(c)))) for c in v)))
     out = []
-    for q in vec:
+    for at, (q, mine) in enumerate(vec):
         if q % every == 0:
-            all_ = sorted((-sum(a * b for a, b in zip(vec[q], v, strict=False)), i) for i, v in vec.items() if i != q)
+            all_ = sorted((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for n, (i, v) in enumerate(vec) if n != at)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(all_[:k])]
     return sorted(out)
 
@@ -40,7 +39,7 @@ def test_embeddings(spark):
 def test_ties_blocks_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(400)]
-    rows += [(None, [1.0, 1.0, 1.0]), (500, None), (600, [None, 1.0, 2.0]), (700, [float("nan"), 0.0, 0.0]), (800, [float("inf"), 0.0, 0.0]), (100, [9.0, 9.0, 9.0]), (7, [0.5, 0.5, 0.5]), (7, [0.5, 0.5, 0.5])]
+    rows += [(None, [1.0, 1.0, 1.0]), (500, None), (600, [None, 1.0, 2.0]), (700, [float("nan"), 0.0, 0.0]), (800, [float("inf"), 0.0, 0.0]), (100, [9.0, 9.0, 9.0]), (7, [0.5, 0.5, 0.5]), (7, [0.5, 0.5, 0.5]), (5, [2.0, 2.0, 2.0]), (5, [30.0, 30.0, 30.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert got(search.search_embeddings(df, every=20)) == ranked(rows, 20)
     vectors = search.stored(search.integer_vectors(df))
@@ -56,7 +55,7 @@ def test_pivots_eliminate():
     top = float((x**2).sum(1).max())
     pivots = search.choose_pivots(x[:500])
     best = search.Best(1, 10)
-    n = search.eliminate(best, 0, -1, x[5], search.query_distances(x[5:6], pivots, top)[0], np.arange(4000), x, search.data_distances(x, pivots, top), top)
+    n = search.eliminate(best, 0, np.ones(4000, bool), x[5], search.query_distances(x[5:6], pivots, top)[0], np.arange(4000), x, search.data_distances(x, pivots, top), top)
     assert n < 2000 and best.score[0].tolist() == sorted((x @ x[5]).tolist(), reverse=True)[:10]
 
 

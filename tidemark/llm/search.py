@@ -22,13 +22,13 @@ PIVOTS, SAMPLE, BLOCK, SCALE = 32, 1024, 2048, 1024
 
 
 def integer_vectors(df: DataFrame) -> DataFrame:
-    """vec_id and vec (floor of 1024 times each component). Rows with a null id, a null vector or a component that is
-    null or not finite take no part; of several vectors under one id the smallest in order of components counts.
-    Vectors of different lengths meet on their common components. Exact while scores stay below 2**53."""
+    """vec_id, vec (floor of 1024 times each component) and row, a number that tells rows apart once the result is stored.
+    Rows with a null id, a null vector or a component that is null or not finite take no part; every other row does, also
+    under a repeated id. Vectors of different lengths meet on their common components. Exact while scores stay below 2**53."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     kept = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    return kept.select(F.col("vec_id").cast("long"), whole.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return kept.select(F.col("vec_id").cast("long"), whole.alias("vec"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def query_distances(q: np.ndarray, pivots: np.ndarray, top: float) -> np.ndarray
 
 
 class Best:
-    """The k best (score, smaller id) of each query so far."""
+    """The k best (score, smaller id) of each query so far; ids may repeat."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -79,12 +79,13 @@ class Best:
         self.score[q], self.ids[q] = s[order], i[order]
 
 
-def eliminate(best: Best, q: int, own: int, query: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, top: float) -> int:
-    """Add a block of candidates to one query's best; returns how many were evaluated."""
+def eliminate(best: Best, q: int, other: np.ndarray, query: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, top: float) -> int:
+    """Add a block of candidates to one query's best; other: which of them are not the query's own row. Returns how many
+    were evaluated."""
     bound = np.abs(dx - dq).max(1)
     upper = ((query @ query) + top - bound**2) / 2
     upper += 1e-9 * (abs(top) + query @ query) + 1e-3  # the bounds are rounded, the scores are exact
-    open_ = np.flatnonzero((upper >= best.floor(q)) & (ids != own))
+    open_ = np.flatnonzero((upper >= best.floor(q)) & other)
     open_ = open_[np.argsort(-upper[open_], kind="stable")]
     at, step = 0, 32
     while at < len(open_) and upper[open_[at]] >= best.floor(q):
@@ -95,9 +96,10 @@ def eliminate(best: Best, q: int, own: int, query: np.ndarray, dq: np.ndarray, i
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best vectors other than its own id, ties to the smaller id.
+    """(query_id, rank, vec_id, score) of each query row's k best rows other than itself, ties to the smaller id; query rows
+    with one id have ranks of their own.
 
-    vectors, queries: from integer_vectors(), read from files. Queries run in blocks of about 2048, which is all that
+    vectors, queries: from integer_vectors(), read from files (queries are rows of vectors). Queries run in blocks of about 2048, which is all that
     is sent to the tasks; every task keeps k rows a query, and those meet by query.
     """
     spark = vectors.sparkSession
@@ -106,37 +108,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     if facts["width"] is None:
         return empty
     width, top = facts["width"], float(facts["top"])
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
+    sample = vectors.orderBy(F.xxhash64("vec_id", "row"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
     pivots = choose_pivots(_matrix(sample, width))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             far = data_distances(_matrix(b.column(1), width), pivots, top)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), len(pivots)).cast(pa.list_(pa.float64()))], ["vec_id", "vec", "far"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), len(pivots)).cast(pa.list_(pa.float64()))], ["vec_id", "vec", "row", "far"])
 
-    pivot_table = stored(vectors.mapInArrow(measure, "vec_id long, vec array<long>, far array<double>"))
+    pivot_table = stored(vectors.select("vec_id", "vec", "row").mapInArrow(measure, "vec_id long, vec array<long>, row long, far array<double>"))
     blocks = max(1, -(-queries.count() // block))
-    dealt = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
+    dealt = stored(queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")))
 
     def search(one: pa.Table) -> DataFrame:
-        own = one.column("vec_id").to_numpy()
+        own, named = one.column("row").to_numpy(), one.column("vec_id").to_numpy()
         q = _matrix(one.column("vec").combine_chunks(), width)
         dq = query_distances(q, pivots, top)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(own), k)
             for b in batches:
-                ids, x, dx = b.column(0).to_numpy(), _matrix(b.column(1), width), _matrix(b.column(2), len(pivots))
+                ids, x, rows, dx = b.column(0).to_numpy(), _matrix(b.column(1), width), b.column(2).to_numpy(), _matrix(b.column(3), len(pivots))
                 for i in range(len(own)):
-                    eliminate(best, i, own[i], q[i], dq[i], ids, x, dx, top)
+                    eliminate(best, i, rows != own[i], q[i], dq[i], ids, x, dx, top)
             n = [len(s) for s in best.score]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(own, n)), "vec_id": pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)]).astype(np.int64)), "score": pa.array(np.rint(np.concatenate([*best.score, np.empty(0)])).astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(named, n)), "query_row": pa.array(np.repeat(own, n)), "vec_id": pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)]).astype(np.int64)), "score": pa.array(np.rint(np.concatenate([*best.score, np.empty(0)])).astype(np.int64))})
 
-        found = pivot_table.mapInArrow(lean(run), "query_id long, vec_id long, score long")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = pivot_table.mapInArrow(lean(run), "query_id long, query_row long, vec_id long, score long")
+        rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    out = [search(one) for i in range(blocks) if (one := dealt.filter(F.col("block") == i).select("vec_id", "vec").toArrow()).num_rows]
+    out = [search(one) for i in range(blocks) if (one := dealt.filter(F.col("block") == i).select("vec_id", "vec", "row").toArrow()).num_rows]
     if len(out) > 1:
         out = [stored(x) for x in out]
     result = out[0] if out else empty
@@ -156,15 +158,14 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH parts AS (
-  SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
-v AS (SELECT vec_id, i, CAST(floor(1024 * x) AS BIGINT) AS x FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+WITH each AS (SELECT row_number() OVER () AS n, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+parts AS (SELECT n, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM each),
+bad AS (SELECT DISTINCT n FROM parts WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT n, vec_id, i, CAST(floor(1024 * x) AS BIGINT) AS x FROM parts WHERE n NOT IN (SELECT n FROM bad)),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
+  SELECT q.n AS q, q.vec_id AS query_id, c.n, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.i = c.i AND q.n <> c.n
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2, 3, 4)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
