@@ -131,3 +131,24 @@ def test_pruning_follows_the_walk(spark):
             kept.append(v)
     out = screens.pruned(spark.createDataFrame(list(score.items()), "ticket string, score double"), spark.createDataFrame(pairs, "a string, b string, r double"), 0.8)
     assert sorted(x["ticket"] for x in out.collect()) == sorted(kept)
+
+
+def test_ridge_leaves_each_quarter_out(spark, tables):
+    ranks = sq.rankings(spark, SF).toPandas()
+    y = tables[1].dropna()
+    wide = tables[0].reindex(y.index)
+    out = sq.m23(spark, SF).toPandas()
+    assert len(out) == 2 * 3 * len(sq.ALPHAS)
+    for r in out[out["size"] == 5].itertuples():
+        x = wide[sorted(ranks[(ranks["method"] == r.method) & (ranks["rank"] <= r.size)]["ticket"])].dropna(axis=1)
+        a = np.asarray(pd.to_datetime(x.index) < sq.TEST)
+        z, t = ((x - x[a].mean()) / x[a].std(ddof=0)).to_numpy()[a], y[a].to_numpy()
+        errors = []
+        for i in range(len(t)):
+            k = np.arange(len(t)) != i
+            design = np.column_stack([np.ones(k.sum()), z[k]])
+            beta = np.linalg.solve(design.T @ design + np.diag([0.0] + [r.alpha] * z.shape[1]), design.T @ t[k])
+            errors.append((t[i] - beta @ np.r_[1.0, z[i]]) ** 2)
+        assert np.isclose(r.loo, np.mean(errors), rtol=1e-5)
+    best = {(r["method"], r["size"]): r["loo"] for r in sq.m15(spark, SF).collect()}
+    assert best == out.groupby(["method", "size"])["loo"].min().to_dict()

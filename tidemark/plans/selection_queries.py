@@ -171,3 +171,25 @@ def a22(s, d):
     e = pool.errors(pool.guarded(readings(s, d), 20.0).filter("pred is not null"))
     b = e.groupBy("vintage").agg(F.median("rmse").alias("mid"))
     return e.join(F.broadcast(b), "vintage").groupBy("vintage").agg(F.count_if(F.col("rmse") < F.col("mid")).alias("better"), F.round(F.min("rmse"), 5).alias("best"), F.min_by("spec", "rmse").alias("spec"), F.round(F.median("rmse"), 5).alias("median"))
+
+
+@query("m10_rolling_screen", f", t AS (SELECT date AS as_of FROM ygrowth WHERE date >= DATE '{TEST}'), c AS (SELECT as_of, ticket, round(abs(corr(q.growth, y.growth)), 8) AS score, count(*) AS n FROM qgrowth q JOIN ygrowth y USING (date) JOIN t ON date < as_of WHERE q.growth IS NOT NULL AND y.growth IS NOT NULL GROUP BY 1, 2) SELECT as_of, ticket, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY score DESC, ticket) AS INTEGER) AS rank FROM c WHERE n >= 8 AND score IS NOT NULL AND NOT isnan(score)) WHERE rank <= 20")
+def m10(s, d):
+    """The correlation screen anew before each test quarter."""
+    return screens.rolling_screen(*_growths(s, d), TEST, 20)
+
+
+ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
+
+
+@query("m23_penalty_path", None)
+def m23(s, d):
+    """Ridge lines of two rankings' prefixes over all penalties."""
+    return rounded(screens.ridge_path(rankings(s, d), *_growths(s, d), TEST, [5, 10, 20], ALPHAS), "loo", "norm", "rmse", places=5)
+
+
+@query("m15_ridge", None)
+def m15(s, d):
+    """Of each prefix the penalty with the least error of quarters left out."""
+    best = m23(s, d).groupBy("method", "size").agg(F.min_by(F.struct("alpha", "loo", "rmse"), F.struct("loo", "alpha")).alias("b"))
+    return best.select("method", "size", "b.*")
