@@ -98,10 +98,33 @@ def mean_filled(obs: DataFrame, train_end: str) -> DataFrame:
     return x.select("ticket", "date", F.coalesce("value", mean).alias("value"))
 
 
+def exact_percentile(df: DataFrame, column: str, share: float, most: int = 1_000_000) -> float | None:
+    """The percentile between its two neighbours in order, nulls skipped; null without values.
+
+    Approximate percentiles, whose states are bounded, narrow the values down to a range that holds both neighbours, again
+    until the range has at most `most` rows or one value; those few are then taken exactly.
+    """
+    x = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    rows = x.count()
+    if not rows:
+        return None
+    place, below = (rows - 1) * share, 0
+    while rows > most:
+        at, slack = (place - below) / rows, max(0.001, 2 / rows)
+        low, high = x.agg(F.percentile_approx("v", [max(at - slack, 0.0), min(at + slack, 1.0)], 10_000)).first()[0]
+        if low == high:
+            return low
+        inside = x.filter(F.col("v").between(low, high))
+        under, held = x.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if held == rows:
+            break
+        x, below, rows = inside, below + under, held
+    return x.agg(F.percentile("v", min(max((place - below) / max(rows - 1, 1), 0.0), 1.0))).first()[0]
+
+
 def capped(daily: DataFrame, share: float = 0.9) -> DataFrame:
     """Values above the percentile become the mean of those below it."""
-    cut = daily.agg(F.percentile("value", share).alias("cut"))
-    x = daily.crossJoin(F.broadcast(cut))
+    x = daily.withColumn("cut", F.lit(exact_percentile(daily, "value", share)).cast("double"))
     low = x.filter("value <= cut").agg(F.avg("value").alias("low"))
     return x.crossJoin(F.broadcast(low)).withColumn("value", F.when(F.col("value") > F.col("cut"), F.col("low")).otherwise(F.col("value"))).drop("cut", "low")
 

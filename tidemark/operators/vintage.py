@@ -39,11 +39,16 @@ def months_observed(obs: DataFrame, meta: DataFrame, quarters: DataFrame) -> Dat
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Latest right row at or before each left date; the earliest one if there is none."""
-    j = left.crossJoin(F.broadcast(right.select(F.col(key).alias("_k"), F.col(value).alias("_v"))))
-    before = F.col("_k") <= F.col("date")
-    x = j.groupBy(*left.columns).agg(F.max_by(F.when(before, F.col("_v")), F.when(before, F.col("_k"))).alias("a"), F.min_by("_v", "_k").alias("b"))
-    return x.select(*left.columns, F.coalesce("a", "b").alias(value))
+    """Latest right row at or before each left date; the earliest one if there is none.
+
+    Only dates meet in one task, as many as the calendar has; left rows then find their date's value by a join.
+    """
+    known = right.groupBy(F.col(key).cast("date").alias("_d")).agg(F.max(value).alias("_v"))
+    days = left.select(F.col("date").alias("_d")).distinct().join(known, "_d", "full")
+    by = W.orderBy("_d")
+    then, first = F.last("_v", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)), F.first("_v", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
+    at = days.select(F.col("_d").alias("date"), F.coalesce(then, first).alias(value))
+    return left.join(at, "date", "left").select(*left.columns, value)
 
 
 def target_lags(target: DataFrame, lag_months: int, lags: int = 2) -> DataFrame:
@@ -65,8 +70,14 @@ def folds(quarters: DataFrame, first: int = 16, step: int = 2, ahead: int = 4) -
 
 
 def screened(growth: DataFrame, target: DataFrame, as_of_date: str, least: int = 8) -> DataFrame:
-    """Series by absolute correlation with the target on quarters before the date; pairs with nulls drop out."""
+    """Series by absolute correlation with the target on quarters before the date; pairs with nulls drop out.
+
+    Ranked within thousandths of the score, to which the numbers of series in better thousandths are added.
+    """
     j = growth.join(F.broadcast(target.withColumnRenamed("growth", "y")), "date").filter(F.col("date") < F.to_date(F.lit(as_of_date))).filter("growth is not null and y is not null")
     s = j.groupBy("ticket").agg(F.corr("growth", "y").alias("r"), F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
-    s = s.withColumn("score", F.round(F.abs("r"), 8))
-    return s.select("ticket", "score", F.row_number().over(W.orderBy(F.desc("score"), "ticket")).alias("rank"))
+    s = s.withColumn("score", F.round(F.abs("r"), 8)).withColumn("bucket", F.floor(F.col("score") * 1000).cast("int"))
+    ahead = F.coalesce(F.sum("n").over(W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = s.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", ahead.alias("ahead"))
+    inside = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("score"), "ticket"))
+    return s.join(F.broadcast(places), "bucket").select("ticket", "score", (inside + F.col("ahead")).cast("int").alias("rank"))
