@@ -108,5 +108,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pieces of every document with their sequence and place there. Documents of null id or text, empty ones and
-    repeated rows are packed like others."""
+    repeated rows are packed like others; other columns are not read. An empty table gives no rows."""
     return pack(stored(pieces(docs, tokenizer)))

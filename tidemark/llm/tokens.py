@@ -83,7 +83,11 @@ def truncated_total(hist: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length histogram of all documents, each with one end token."""
+    """The length histogram of all documents, each with one end token.
+
+    Null and empty texts have length 1; repeated rows count each; ids and other columns are not read. An empty table gives
+    no rows.
+    """
     return histogram(stored(lengths(documents(spark, sf_dir), default_tokenizer(), end=1)))
 
 
@@ -314,7 +318,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write docs to token files, look every doc_id up again and digest what the files hold. Empty tables give no rows."""
+    """Write docs to token files, look every doc_id up again and digest what the files hold.
+
+    Null and empty texts are the end id alone. Null ids come first; rows of one id follow one another in the files and are
+    each given back. Other columns are not read. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     folder = scratch(spark)
     manifest = write_shards(docs, folder, tokenizer, end_id)

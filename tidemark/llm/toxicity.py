@@ -403,6 +403,12 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, one row each, by a network that learns from the labelled rows not held out.
+
+    Null and empty texts score like texts without words; rows that repeat an id or a text are scored each; a null id counts
+    as the empty text for held_out and is never learned from. Without labels all score 0. An empty table gives no rows;
+    columns but doc_id and text are not read.
+    """
     docs = documents(spark, sf_dir)
     net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, net).select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", "predicted")
