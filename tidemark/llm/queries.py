@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import class_lm, fingerprints, mixing, ngram_join, packing, search, sharding, tokens, toxicity
+from tidemark.llm import class_lm, fingerprints, mixing, ngram_join, packing, search, sharding, tokens, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_class_lm": class_lm.op8_class_lm,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
+        "op13_url_filters": url_filters.op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": ngram_join.SQL, "op6_topk_search": search.SQL}
+    return {"op5_ngram_join": ngram_join.SQL, "op6_topk_search": search.SQL, "op13_url_filters": url_filters.SQL}
