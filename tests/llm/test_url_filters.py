@@ -36,7 +36,8 @@ def plain_rules(labelled, least):
             for s in itertools.combinations(sorted(tokens), k):
                 n[s] = n.get(s, 0) + 1
                 hits[s] = hits.get(s, 0) + bad
-    sure = {s: hits[s] / n[s] for s in n if hits[s] >= least and hits[s] / n[s] >= U.CONFIDENCE}
+    base = sum(b for _, b in labelled)
+    sure = {s: hits[s] / n[s] for s in n if hits[s] >= least and hits[s] / n[s] >= U.CONFIDENCE and hits[s] * len(labelled) > n[s] * base}
     kept = [s for s in sure if not any(set(p) < set(s) and sure[p] >= sure[s] for p in sure)]
     return sorted(kept, key=lambda s: (-sure[s], -hits[s], s)), sure
 
@@ -82,7 +83,7 @@ def test_without_labels_or_rows(spark):
 
 
 def test_support_bounds_sets(spark):
-    x = U.with_parts(spark.createDataFrame([(f"http://h{i}.org/x/{i}", True) for i in range(50)], "url string, bad boolean"))
+    x = U.with_parts(spark.createDataFrame([(f"http://h{i}.org/x/{i}", True) for i in range(50)] + [("http://good.com/y/1", False)] * 3, "url string, bad boolean"))
     rules = U.mined_rules(x.select("tokens", "bad"), support=0.9, most_tokens=2).collect()
     assert rules and all(r["hits"] >= 45 and len(r["tokens"]) <= 2 and r["key"] in r["tokens"] for r in rules)
     assert [r["place"] for r in sorted(rules, key=lambda r: r["place"])] == list(range(1, len(rules) + 1))

@@ -59,13 +59,13 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAS
     """(place, tokens, hits, n, confidence, key) of the rules that labelled urls (tokens, bad) give, best first.
 
     n urls hold all tokens, hits of them are bad. Kept are sets with at least `support` of all urls and `least` urls among
-    hits, and with at least `confidence`; a set goes if a part of it is as sure. Best are the surest, then those with
+    hits, with at least `confidence`, and with a larger share of bad ones than all urls have; a set goes if a part of it is as sure. Best are the surest, then those with
     most hits, then the first by their tokens. key is the rarest token of a rule. No labelled urls give no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
     bought = stored(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_LABEL))).otherwise(F.col("tokens")).alias("items")))
-    n = bought.count()
+    n, bad = bought.agg(F.count("*"), F.count_if(F.array_contains("items", _LABEL))).first()
     few = max(least, -(-int(n * support * 1_000_000) // 1_000_000))
     if n < few:
         return labelled.sparkSession.createDataFrame([], "place int, tokens array<string>, hits long, n long, confidence double, key string")
@@ -73,7 +73,7 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAS
     sets = stored(sets.filter(F.size("items") <= most_tokens + 1))
     plain = sets.filter(~F.array_contains("items", _LABEL)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
     both = sets.filter(F.array_contains("items", _LABEL) & (F.size("items") > 1)).select(F.array_remove("items", _LABEL).alias("tokens"), F.col("freq").alias("hits"))
-    rules = both.join(plain, "tokens").withColumn("confidence", F.col("hits") / F.col("n")).filter(F.col("confidence") >= confidence)
+    rules = both.join(plain, "tokens").withColumn("confidence", F.col("hits") / F.col("n")).filter((F.col("confidence") >= confidence) & (F.col("hits") * n > F.col("n") * bad))
     masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("tokens")) - 2)
     inside = F.transform(masks, lambda m: F.filter("tokens", lambda t, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
     parts = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(inside).alias("part"))
@@ -134,7 +134,7 @@ one AS (SELECT k, bad, unnest(tokens) AS t FROM known),
 sets AS (SELECT bad, [t] AS s FROM one UNION ALL SELECT x.bad, [x.t, y.t] FROM one x JOIN one y ON x.k = y.k AND x.t < y.t
   UNION ALL SELECT x.bad, [x.t, y.t, z.t] FROM one x JOIN one y ON x.k = y.k AND x.t < y.t JOIN one z ON x.k = z.k AND y.t < z.t),
 counted AS (SELECT s, count(*) FILTER (bad) AS hits, count(*) AS n FROM sets GROUP BY 1),
-sure AS (SELECT s, hits, n, hits / n AS confidence FROM counted WHERE hits >= greatest({LEAST}, (SELECT ceil(count(*) * {SUPPORT}) FROM known)) AND hits / n >= {CONFIDENCE}),
+sure AS (SELECT s, hits, n, hits / n AS confidence FROM counted WHERE hits >= greatest({LEAST}, (SELECT ceil(count(*) * {SUPPORT}) FROM known)) AND hits / n >= {CONFIDENCE} AND hits * (SELECT count(*) FROM known) > n * (SELECT count(*) FILTER (bad) FROM known)),
 rules AS (SELECT row_number() OVER (ORDER BY confidence DESC, hits DESC, s) AS place, * FROM sure r WHERE NOT EXISTS (SELECT 1 FROM sure p WHERE len(p.s) < len(r.s) AND list_has_all(r.s, p.s) AND p.confidence >= r.confidence)),
 best AS (SELECT id, min(place) AS place FROM e JOIN rules ON list_has_all(tokens, s) WHERE given IS NULL GROUP BY 1)
 SELECT page_id, host, path, split_part(given, '|', 1) AS rule, coalesce(split_part(given, '|', 2), CASE WHEN place IS NULL THEN 'allow' ELSE 'block' END) AS verdict, array_to_string(s, ' ') AS mined, confidence
