@@ -1,4 +1,4 @@
-"""Queries on the pool of readings and on sites. A reading is a brand's latest printed growth at a vintage."""
+"""Queries on the pool of readings and on sites. A reading is the target's line in one brand's month, as known at a vintage."""
 
 from __future__ import annotations
 
@@ -6,25 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import quarter_stamp
-from tidemark.operators import panel, pool, vintage
+from tidemark.functions.calendar import month
+from tidemark.operators import cells, panel, pool
 from tidemark.plans.queries import query, rounded
+from tidemark.sources.files import written
 from tidemark.testbed import daily, obs, read, target
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spec: a brand; its own quarterly growth is read as the target's, later vintages with less of an offset."""
+BRAND_LAG = F.regexp_extract("ticket", "([0-9]+)$", 1).cast("int") % 5
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly growth of every brand's quantity, null where a month or the one before it has no sales."""
     sales = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    q = sales.groupBy(F.col("p_brand").alias("ticket"), quarter_stamp("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("value"))
-    g = panel.quarterly_growth(q).withColumnRenamed("ticket", "spec")
-    y = target(spark, sf_dir).select("date", F.round(panel.growth(F.col("y"), F.lag("y").over(W.orderBy("date"))), 6).alias("actual"))
-    x = g.join(y, "date").withColumn("vintage", F.explode(F.array(*map(F.lit, vintage.VINTAGES))))
-    return x.select("date", "vintage", "spec", F.round(F.col("growth") * (F.col("vintage") + 4) / 10, 6).alias("pred"), "actual").filter("pred is not null")
+    q = sales.groupBy(F.col("p_brand").alias("ticket"), month("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("value"))
+    return panel.monthly_growth(q).withColumnRenamed("growth", "value")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, vintage, spec, pred, actual): the target's line in each brand's month, fitted for every quarter on the quarters
+    before it and read at every vintage. A brand's publication lag is its number's rest by 5."""
+    y = target(spark, sf_dir).select("date", panel.growth(F.col("y"), F.lag("y").over(W.orderBy("date"))).alias("y"))
+    last = y.agg(F.max("date")).first()[0]
+    x = written(cells.carried(brands(spark, sf_dir), str(last)))
+    lags = x.select("ticket").distinct().select("ticket", BRAND_LAG.alias("months_lag"))
+    r = cells.readings(cells.lines(x, y), x, lags).join(F.broadcast(y), "date")
+    return r.select("date", "vintage", "spec", F.round("pred", 6).alias("pred"), F.round("y", 6).alias("actual"))
 
 
 POOL = """, bq AS (SELECT p_brand AS spec, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE) AS date, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 bg AS (SELECT spec, date, 100 * (value / nullif(lag(value) OVER (PARTITION BY spec ORDER BY date), 0) - 1) AS growth FROM bq),
-readings AS (SELECT date, CAST(v AS INTEGER) AS vintage, spec, round(bg.growth * (v + 4) / 10, 6) AS pred, round(y.growth, 6) AS actual FROM bg JOIN ygrowth y USING (date), unnest(range(-2, 7)) AS t(v) WHERE bg.growth IS NOT NULL)"""
+bm AS (SELECT p_brand AS spec, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+bx AS (SELECT a.spec, a.date, 100 * (a.value / nullif(b.value, 0) - 1) AS g FROM bm a JOIN bm b ON b.spec = a.spec AND b.date = a.date - INTERVAL 1 MONTH),
+bd AS (SELECT CAST(unnest(generate_series(min(date), (SELECT max(date) FROM ygrowth), INTERVAL 1 MONTH)) AS DATE) AS date FROM bx WHERE g IS NOT NULL),
+bf AS (SELECT s.spec, bd.date, coalesce(last_value(g IGNORE NULLS) OVER u, first_value(g IGNORE NULLS) OVER (PARTITION BY s.spec ORDER BY bd.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x, count(g) OVER u AS seen
+  FROM (SELECT DISTINCT spec FROM bx WHERE g IS NOT NULL) s CROSS JOIN bd LEFT JOIN bx ON bx.spec = s.spec AND bx.date = bd.date WINDOW u AS (PARTITION BY s.spec ORDER BY bd.date ROWS UNBOUNDED PRECEDING)),
+bw AS (SELECT spec, date, x, seen, y.growth AS y, pow(0.95, -datediff('day', DATE '1970-01-01', date) / 90.0 + 100) AS w FROM bf JOIN ygrowth y USING (date) WHERE y.growth IS NOT NULL),
+bs AS (SELECT spec, date, lag(seen) OVER (PARTITION BY spec ORDER BY date) AS seen, count(*) OVER v AS n, sum(w) OVER v AS s, sum(w * x) OVER v AS sx, sum(w * y) OVER v AS sy, sum(w * x * x) OVER v AS sxx, sum(w * x * y) OVER v AS sxy
+  FROM bw WINDOW v AS (PARTITION BY spec ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bl AS (SELECT spec, date, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b, s, sx, sy FROM bs WHERE n >= 8 AND seen >= 23 AND s * sxx - sx * sx > 0),
+readings AS (SELECT bl.date, CAST(v AS INTEGER) AS vintage, bl.spec, round((sy - b * sx) / s + b * bf.x, 6) AS pred, round(y.growth, 6) AS actual FROM bl JOIN ygrowth y USING (date), unnest(range(-2, 7)) AS t(v)
+  JOIN bf ON bf.spec = bl.spec AND bf.date = bl.date - to_months(CAST(greatest(0, CAST(regexp_extract(bl.spec, '[0-9]+$') AS INTEGER) % 5 - v) AS INTEGER)))"""
 _SEEN = "p.date < r.date AND p.date + INTERVAL 2 MONTH <= r.date + to_months(r.vintage)"
 WEIGHTS = POOL + f""", hist AS (SELECT r.date, r.vintage, r.spec, r.pred, count(p.actual) AS prints, avg(pow(p.pred - p.actual, 2)) AS mse FROM readings r LEFT JOIN readings p ON p.spec = r.spec AND p.vintage = r.vintage AND p.actual IS NOT NULL AND {_SEEN} GROUP BY 1, 2, 3, 4),
 raw AS (SELECT *, CASE WHEN prints < 3 THEN 1.0 ELSE 1 / greatest(mse, 1e-12) END AS u FROM hist),
