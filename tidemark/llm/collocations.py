@@ -5,8 +5,8 @@ chunks wherever they stand. A chunk holds its core words and the words behind th
 starts in the core can still reach. Distinct chunks with how often they were parsed are the dictionary; phrases are counted
 in it once per distinct chunk, weighed, and only from core words on, so what two chunks share is counted in one of them.
 
-Longer phrases are counted only where both shorter ones inside have the least count, which they must. That is asked of a
-bitmap of fixed size, broadcast at any size of the corpus: a full one lets more pass, and never a phrase too few.
+Pairs are counted only where both words have the least count, longer phrases only where all pairs inside have it, as they
+must. That is asked of a bitmap of fixed size, broadcast at any size of the corpus: a full one lets more pass, and never a phrase too few.
 """
 
 from __future__ import annotations
@@ -157,8 +157,10 @@ def _distinct(columns: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return key
 
 
-def _count(rows: list[pa.RecordBatch], n: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-    """(lang, phrase, times) of phrases of n words in some rows of the dictionary."""
+def _count(rows: list[pa.RecordBatch], lengths: tuple[int, ...], frequent: np.ndarray | None, inner: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, times) of phrases of some lengths in some rows of the dictionary, one batch a length.
+
+    frequent: bits of the phrases of `inner` words that have the least count."""
     t = pa.Table.from_batches(rows).combine_chunks()
     lang, core, chunk, times = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns)
     split = pc.split_pattern(chunk, " ")
@@ -174,28 +176,31 @@ def _count(rows: list[pa.RecordBatch], n: int, frequent: np.ndarray | None) -> p
     inside = np.arange(total) - first[row] < core.to_numpy()[row]
     tongue = lang.dictionary_encode()
     langs, tongues = tongue.indices.to_numpy()[row].astype(np.int64), tongue.dictionary
-    starts = np.arange(max(total - n + 1, 0))
-    ok = inside[starts] & (piece[starts] == piece[starts + n - 1])
+    seen = None
     if frequent is not None:
         h = _hashes(words)[code]
         run = _hashes(tongues)[langs] * _MIX + h
-        for k in range(1, n - 1):
+        for k in range(1, inner):
             run = run * _MIX + np.append(h[k:], np.zeros(k, np.uint64))
         seen = np.unpackbits(frequent, bitorder="little")[_bit(run).astype(np.int64)].astype(bool)
-        ok &= seen[starts] & seen[starts + 1]
-    starts = starts[ok]
-    key = _distinct([(langs[starts], len(tongues)), *[(code[starts + k], max(len(words), 1)) for k in range(n)]])
-    _, where, same = np.unique(key, return_index=True, return_inverse=True)
-    found = np.zeros(len(where), np.int64)
-    np.add.at(found, same, times.to_numpy()[row[starts]])
-    one = starts[where]
-    taken = [words.take(pa.array(code[one + k])) for k in range(n)]
-    phrase = pc.binary_join_element_wise(*taken, " ") if n > 1 else taken[0]
-    return pa.RecordBatch.from_pydict({"lang": tongues.take(pa.array(langs[one])), "phrase": phrase, "times": found})
-
-
-def counts(dictionary: DataFrame, n: int, least: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, f) of the phrases of n words that occur `least` times or more."""
+    for n in lengths:
+        starts = np.arange(max(total - n + 1, 0))
+        ok = inside[starts] & (piece[starts] == piece[starts + n - 1])
+        for k in range(n - inner + 1 if seen is not None else 0):
+            ok &= seen[starts + k]
+        starts = starts[ok]
+        key = _distinct([(langs[starts], len(tongues)), *[(code[starts + k], max(len(words), 1)) for k in range(n)]])
+        _, where, same = np.unique(key, return_index=True, return_inverse=True)
+        found = np.zeros(len(where), np.int64)
+        np.add.at(found, same, times.to_numpy()[row[starts]])
+        one = starts[where]
+        taken = [words.take(pa.array(code[one + k])) for k in range(n)]
+        phrase = pc.binary_join_element_wise(*taken, " ") if n > 1 else taken[0]
+        yield pa.RecordBatch.from_pydict({"lang": tongues.take(pa.array(langs[one])), "phrase": phrase, "times": found})
+
+
+def counts(dictionary: DataFrame, lengths: tuple[int, ...], least: int, frequent: np.ndarray | None = None, inner: int = 0) -> DataFrame:
+    """(lang, phrase, f) of the phrases of some lengths that occur `least` times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, size = [], 0, 0
@@ -205,10 +210,10 @@ def counts(dictionary: DataFrame, n: int, least: int, frequent: np.ndarray | Non
             held.append(b)
             words, size = words + pc.sum(b.column(1)).as_py() + LONGEST * b.num_rows, size + b.column(2).nbytes
             if words >= WORDS_AT_ONCE or size >= BYTES_AT_ONCE:
-                yield _count(held, n, frequent)
+                yield from _count(held, lengths, frequent, inner)
                 held, words, size = [], 0, 0
         if held:
-            yield _count(held, n, frequent)
+            yield from _count(held, lengths, frequent, inner)
 
     x = dictionary.select("lang", "core", "chunk", "times").mapInArrow(lean(run), "lang string, phrase string, times long")
     return x.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
@@ -280,9 +285,10 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     dictionary = _kept(chunks(docs))
     words = dictionary.groupBy("lang").agg(F.sum(F.col("core") * F.col("times")).alias("n"))
     levels, frequent = [], None
-    for n in range(1, LONGEST + 1):
-        levels.append(_kept(counts(dictionary, n, least, frequent)))
-        frequent = bitmap(levels[-1])
+    for inner, lengths in enumerate([(1,), (2,), tuple(range(3, LONGEST + 1))]):
+        levels.append(_kept(counts(dictionary, lengths, least, frequent, inner)))
+        if inner < 2:
+            frequent = bitmap(levels[-1])
     counted = levels[0]
     for level in levels[1:]:
         counted = counted.unionByName(level)
