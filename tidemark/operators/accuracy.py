@@ -82,15 +82,6 @@ def at_most(errors: DataFrame, middle: Column) -> DataFrame:
     return errors.withColumn("_m", middle.over(W.partitionBy("vintage"))).filter(F.col("rmse") <= F.col("_m")).drop("_m")
 
 
-def divergence(readings: DataFrame, cluster: Column, margin: float) -> DataFrame:
-    """Median of each cluster against the pool's, with a flag -1, 0 or 1 where they are more than margin apart."""
-    pool = readings.groupBy("date", "vintage").agg(F.median("pred").alias("pool"))
-    q = [F.percentile("pred", p).alias(n) for p, n in ((0.25, "p25"), (0.75, "p75"))]
-    x = readings.groupBy("date", "vintage", cluster.alias("cluster")).agg(F.count("pred").alias("n"), F.median("pred").alias("mid"), *q).join(pool, ["date", "vintage"])
-    apart = F.round(F.col("mid") - F.col("pool"), 6)
-    return x.select("date", "vintage", "cluster", "n", "mid", "p25", "p75", apart.alias("apart"), F.when(apart > margin, 1).when(apart < -margin, -1).otherwise(0).alias("flag"))
-
-
 def breadth(obs: DataFrame, meta: DataFrame, grid: DataFrame, train_end: str, sigmas: float) -> DataFrame:
     """Series whose minimum over the months of a quarter that are published at a vintage lies below mean - sigmas * sd of
     their training minima. grid: (date, vintage), nine rows a quarter."""

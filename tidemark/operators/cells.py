@@ -219,12 +219,12 @@ def left_out(specs: DataFrame, members: DataFrame, panel: DataFrame, target: Dat
 
 
 def live_grid(target: DataFrame, cut: str, months_to_print: int, desired: str) -> DataFrame:
-    """(date, vintage) of quarters up to `desired` that are not printed at the cut, each at the cut; vintage at most the last
-    of the grid. A quarter is printed if its value is there and its months to print have gone by."""
-    day = dt.date.fromisoformat(cut)
-    stamp = dt.date(day.year, day.month - (day.month - 1) % 3 + 2, 1)
-    ahead = target.filter(F.add_months("date", months_to_print) > F.to_date(F.lit(cut))).select("date")
-    span = target.sparkSession.createDataFrame([(stamp, max(stamp, dt.date.fromisoformat(desired)))], "a date, b date").select(F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("date"))
-    q = ahead.unionByName(span).distinct().filter(F.col("date") <= F.to_date(F.lit(desired)))
-    v = F.least(months_between(F.to_date(F.lit(cut)), F.col("date")), F.lit(max(vintage.VINTAGES)))
-    return q.select("date", v.cast("int").alias("vintage"))
+    """(date, vintage) of the quarters behind the last one printed at the cut, up to `desired`, each read at the cut; the
+    vintage is at most the last of the grid. A quarter is printed if its value is there and its months to print have gone by.
+    Without any print the grid starts with the quarter of the cut."""
+    day = F.to_date(F.lit(cut))
+    out = F.add_months("date", months_to_print) <= day
+    last = target.agg(F.max(F.when(out & F.col("y").isNotNull(), F.col("date"))).alias("last"))
+    first = F.coalesce(F.add_months("last", 3), F.add_months(F.trunc(day, "QUARTER"), 2))
+    q = last.select(first.alias("a")).filter(F.col("a") <= F.to_date(F.lit(desired))).select(F.explode(F.sequence("a", F.to_date(F.lit(desired)), F.expr("interval 3 months"))).alias("date"))
+    return q.select("date", F.least(months_between(day, F.col("date")), F.lit(max(vintage.VINTAGES))).cast("int").alias("vintage"))

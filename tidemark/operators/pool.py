@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ensemble import known_before
+
 
 def spread(readings: DataFrame) -> DataFrame:
     """Size, quartiles and actual of every (date, vintage)."""
@@ -28,14 +30,11 @@ def guarded(readings: DataFrame, most: float = 20.0) -> DataFrame:
 def weights(readings: DataFrame, months_to_print: int, burn_in: int = 3) -> DataFrame:
     """Weight of each specification at each reading: inverse mean squared error over the quarters printed by then.
 
-    One range join brings each reading its printed history; with fewer than burn_in of those, weights are equal.
+    With fewer than burn_in of those, weights are equal.
     """
     r = readings.filter("pred is not null")
-    past = r.filter("actual is not null").select(F.col("spec").alias("_spec"), F.col("vintage").alias("_vintage"), F.col("date").alias("_was"), F.pow(F.col("pred") - F.col("actual"), F.lit(2)).alias("e"))
-    seen = (F.col("_was") < F.col("date")) & (F.add_months("_was", months_to_print) <= F.add_months("date", F.col("vintage")))
-    j = r.join(past, (F.col("spec") == F.col("_spec")) & (F.col("vintage") == F.col("_vintage")) & seen, "left")
-    x = j.groupBy("date", "vintage", "spec", "pred").agg(F.count("e").alias("prints"), F.avg("e").alias("mse"))
-    raw = F.when(F.col("prints") < burn_in, 1.0).otherwise(1 / F.greatest(F.col("mse"), F.lit(1e-12)))
+    x = known_before(r, ["spec", "vintage"], months_to_print, {"prints": F.lit(1).cast("long"), "e": F.pow(F.col("pred") - F.col("actual"), F.lit(2))})
+    raw = F.when(F.col("prints") < burn_in, 1.0).otherwise(1 / F.greatest(F.col("e") / F.col("prints"), F.lit(1e-12)))
     x = x.withColumn("w", raw)
     return x.select("date", "vintage", "spec", "pred", "prints", (F.col("w") / F.sum("w").over(W.partitionBy("date", "vintage"))).alias("w"))
 
@@ -44,16 +43,6 @@ def combined(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("date", "vintage").agg((F.sum(F.col("pred") * F.col("w")) / F.sum("w")).alias("nowcast"))
 
 
-def weighted_quantile(weighted: DataFrame, share: float) -> DataFrame:
-    """Interpolated on cumulative weights; below the first one it is the smallest value."""
-    by = W.partitionBy("date", "vintage").orderBy("pred", "spec")
-    up = F.sum("w").over(by.rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(W.partitionBy("date", "vintage"))
-    x = weighted.withColumn("c", up)
-    x = x.withColumn("c0", F.lag("c").over(by)).withColumn("v0", F.lag("pred").over(by)).filter(F.col("c") >= share - 1e-12)
-    at = F.when(F.col("c0").isNull(), F.col("pred")).otherwise(F.col("v0") + (F.col("pred") - F.col("v0")) * (share - F.col("c0")) / (F.col("c") - F.col("c0")))
-    return x.groupBy("date", "vintage").agg(F.min_by(at, F.struct("c", "spec")).alias("value"))
-
-
 def latched(flags: DataFrame) -> DataFrame:
     """Once a quarter is flagged at a vintage it stays so."""
     return flags.withColumn("on", F.max(F.col("flag").cast("int")).over(W.partitionBy("date").orderBy("vintage").rowsBetween(W.unboundedPreceding, 0)) == 1)

@@ -104,15 +104,6 @@ def a34(s, d):
     return accuracy.histogram(readings(s, d), "pred", ["date", "vintage"], -10.0, 10.0, 40)
 
 
-@query(
-    "e02_clusters",
-    POOL + f""", p AS (SELECT date, vintage, median(pred) AS pool FROM readings GROUP BY 1, 2), c AS (SELECT date, vintage, {GROUP} AS cluster, count(pred) AS n, median(pred) AS mid, quantile_cont(pred, 0.25) AS p25, quantile_cont(pred, 0.75) AS p75 FROM readings GROUP BY 1, 2, 3),
-j AS (SELECT *, round(mid - pool, 6) AS apart FROM c JOIN p USING (date, vintage)) SELECT date, vintage, cluster, n, round(mid, 9) AS mid, round(p25, 9) AS p25, round(p75, 9) AS p75, apart, CASE WHEN apart > 1 THEN 1 WHEN apart < -1 THEN -1 ELSE 0 END AS flag FROM j""",
-)
-def e02(s, d):
-    return rounded(accuracy.divergence(readings(s, d), group(), 1.0), "mid", "p25", "p75", places=9)
-
-
 SPLIT = "2000-01-01"
 BREADTH = f""", v AS (SELECT DISTINCT date AS quarter, CAST(v AS INTEGER) AS vintage FROM target, unnest(range(-2, 7)) AS t(v)), x AS (SELECT o.*, months_lag, CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE) AS quarter FROM obs o JOIN meta USING (ticket)),
 f AS (SELECT ticket, quarter, min(value) AS low FROM x WHERE quarter < DATE '{SPLIT}' GROUP BY 1, 2), cut AS (SELECT ticket, avg(low) - 0.75 * stddev_samp(low) AS cut FROM f GROUP BY 1),
@@ -130,16 +121,6 @@ def e05(s, d):
     return broad(s, d)
 
 
-@query("e06_regime", BREADTH + " SELECT quarter, vintage, n, broken, shock FROM regime")
-def e06(s, d):
-    return accuracy.regime(broad(s, d))
-
-
-@query("e16_first_shock", BREADTH + " SELECT quarter, min(vintage) AS vintage FROM regime WHERE shock GROUP BY 1")
-def e16(s, d):
-    return accuracy.first_shock(accuracy.regime(broad(s, d)))
-
-
 @query("e14_at_most_mean", ERRORS + " SELECT spec, vintage, rmse FROM (SELECT *, avg(rmse) OVER (PARTITION BY vintage) AS mid FROM m) WHERE rmse <= mid")
 def e14(s, d):
     return accuracy.at_most(errors(s, d), F.avg("rmse"))

@@ -13,7 +13,9 @@ from tidemark.sources.files import written
 from tidemark.testbed import daily, obs, read, target
 
 
-BRAND_LAG = F.regexp_extract("ticket", "([0-9]+)$", 1).cast("int") % 5
+def brand_lags(series: DataFrame) -> DataFrame:
+    """(ticket, months_lag): a brand's publication lag is its number's rest by 5."""
+    return series.select("ticket").distinct().select("ticket", (F.regexp_extract("ticket", "([0-9]+)$", 1).cast("int") % 5).alias("months_lag"))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +27,11 @@ def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, vintage, spec, pred, actual): the target's line in each brand's month, fitted for every quarter on the quarters
-    before it and read at every vintage. A brand's publication lag is its number's rest by 5."""
+    before it and read at every vintage."""
     y = target(spark, sf_dir).select("date", panel.growth(F.col("y"), F.lag("y").over(W.orderBy("date"))).alias("y"))
     last = y.agg(F.max("date")).first()[0]
     x = written(cells.carried(brands(spark, sf_dir), str(last)))
-    lags = x.select("ticket").distinct().select("ticket", BRAND_LAG.alias("months_lag"))
-    r = cells.readings(cells.lines(x, y), x, lags).join(F.broadcast(y), "date")
+    r = cells.readings(cells.lines(x, y), x, brand_lags(x)).join(F.broadcast(y), "date")
     return r.select("date", "vintage", "spec", F.round("pred", 6).alias("pred"), F.round("y", 6).alias("actual"))
 
 
@@ -68,27 +69,6 @@ def d15(s, d):
     return pool.guarded(readings(s, d), 5.0)
 
 
-@query("e08_weighted_pool", WEIGHTS + " SELECT date, vintage, spec, prints, round(w, 7) AS w FROM weighted")
-def e08(s, d):
-    return rounded(pool.weights(readings(s, d), 2), "w", places=7).select("date", "vintage", "spec", "prints", "w")
-
-
-@query("e09_nowcast", WEIGHTS + " SELECT date, vintage, round(sum(pred * w) / sum(w), 5) AS nowcast FROM weighted GROUP BY 1, 2")
-def e09(s, d):
-    return rounded(pool.combined(pool.weights(readings(s, d), 2)), "nowcast", places=5)
-
-
-@query(
-    "e10_band",
-    WEIGHTS + """, c AS (SELECT *, sum(w) OVER (PARTITION BY date, vintage ORDER BY pred, spec ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY date, vintage) AS c FROM weighted),
-l AS (SELECT *, lag(c) OVER (PARTITION BY date, vintage ORDER BY pred, spec) AS c0, lag(pred) OVER (PARTITION BY date, vintage ORDER BY pred, spec) AS v0 FROM c),
-f AS (SELECT *, row_number() OVER (PARTITION BY date, vintage ORDER BY c, spec) AS r FROM l WHERE c >= 0.8 - 1e-12)
-SELECT date, vintage, round(CASE WHEN c0 IS NULL THEN pred ELSE v0 + (pred - v0) * (0.8 - c0) / (c - c0) END, 4) AS value FROM f WHERE r = 1""",
-)
-def e10(s, d):
-    return rounded(pool.weighted_quantile(pool.weights(readings(s, d), 2), 0.8), "value", places=4)
-
-
 @query("w13_latched", POOL + ", f AS (SELECT date, vintage, count(*) FILTER (WHERE pred < 0) > 12 AS flag FROM readings GROUP BY 1, 2) SELECT date, vintage, flag, bool_or(flag) OVER (PARTITION BY date ORDER BY vintage ROWS UNBOUNDED PRECEDING) AS \"on\" FROM f")
 def w13(s, d):
     return pool.latched(readings(s, d).groupBy("date", "vintage").agg((F.count_if(F.col("pred") < 0) > 12).alias("flag")))
