@@ -178,3 +178,17 @@ def test_long_texts_are_read_whole():
     net.cache, net.gates = {}, None
     b = net.score(max(float(x.max()) for x in net.many([text.split()])))
     assert abs(a - b) < 1e-6
+
+
+def test_scores_beyond_float64_are_exact(spark):
+    """Sums of products near 2^60, where float64 rounds, against Python integers."""
+    from tidemark.llm import search
+
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.integers(-(2**19), 2**19, 4)]) for i in range(400)]
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in search.search_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    whole = {i: [int(x) * 1024 for x in v] for i, v in rows}
+    assert max(sum(x * x for x in v) for v in whole.values()) > 2**58
+    for q in range(0, 400, 100):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q))[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in best]

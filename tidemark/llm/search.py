@@ -24,24 +24,33 @@ PIVOTS, SAMPLE, BLOCK, SCALE = 32, 1024, 2048, 1024
 def integer_vectors(df: DataFrame) -> DataFrame:
     """vec_id, vec (floor of 1024 times each component) and row, a number that tells rows apart once the result is stored.
     Rows with a null id, a null vector or a component that is null or not finite take no part; every other row does, also
-    under a repeated id. Vectors of different lengths meet on their common components. Exact while scores stay below 2**53."""
+    under a repeated id. Vectors of different lengths meet on their common components."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     kept = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     return kept.select(F.col("vec_id").cast("long"), whole.alias("vec"), F.monotonically_increasing_id().alias("row"))
 
 
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of a list column as float64, padded with zeros."""
-    out = np.zeros((len(column), width))
+#: Squared norms from here on need integers: below, no sum of products of two vectors leaves the exact range of float64.
+WIDE = 2.0**53
+
+
+def _matrix(column: pa.ListArray, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of a list column, padded with zeros."""
+    out = np.zeros((len(column), width), kind)
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
     if len(column) and (np.diff(ends) == width).all():
-        return flat.reshape(len(column), width).astype(np.float64)
+        return flat.reshape(len(column), width).astype(kind)
     for i in range(len(column)):
         out[i, : ends[i + 1] - ends[i]] = flat[ends[i] : ends[i + 1]]
     return out
 
 
+def _whole(scores: np.ndarray) -> np.ndarray:
+    """Scores as integers; those in float64 are whole numbers already."""
+    return scores if scores.dtype == np.int64 else np.rint(scores).astype(np.int64)
+
+
 def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     """Rows far from one another, each the farthest from those chosen before."""
     chosen = [0]
@@ -65,9 +74,9 @@ def query_distances(q: np.ndarray, pivots: np.ndarray, top: float) -> np.ndarray
 class Best:
     """The k best (score, smaller id) of each query so far; ids may repeat."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, kind: type = np.float64):
         self.k = k
-        self.score = [np.empty(0) for _ in range(queries)]
+        self.score = [np.empty(0, kind) for _ in range(queries)]
         self.ids = [np.empty(0, np.int64) for _ in range(queries)]
 
     def floor(self, q: int) -> float:
@@ -80,11 +89,12 @@ class Best:
 
 
 def eliminate(best: Best, q: int, other: np.ndarray, query: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, top: float) -> int:
-    """Add a block of candidates to one query's best; other: which of them are not the query's own row. Returns how many
-    were evaluated."""
+    """Add a block of candidates to one query's best; other: which of them are not the query's own row. query and x are
+    float64, or int64 where float64 would round scores; bounds are float64 always. Returns how many were evaluated."""
     bound = np.abs(dx - dq).max(1)
-    upper = ((query @ query) + top - bound**2) / 2
-    upper += 1e-9 * (abs(top) + query @ query) + 1e-3  # the bounds are rounded, the scores are exact
+    norm = float((query.astype(np.float64) ** 2).sum())
+    upper = (norm + top - bound**2) / 2
+    upper += 1e-9 * (abs(top) + norm) + 1e-3  # the bounds are rounded, the scores are exact
     open_ = np.flatnonzero((upper >= best.floor(q)) & other)
     open_ = open_[np.argsort(-upper[open_], kind="stable")]
     at, step = 0, 32
@@ -124,15 +134,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
         own, named = one.column("row").to_numpy(), one.column("vec_id").to_numpy()
         q = _matrix(one.column("vec").combine_chunks(), width)
         dq = query_distances(q, pivots, top)
+        kind = np.int64 if top >= WIDE else np.float64
+        asked = _matrix(one.column("vec").combine_chunks(), width, kind)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(len(own), k)
+            best = Best(len(own), k, kind)
             for b in batches:
-                ids, x, rows, dx = b.column(0).to_numpy(), _matrix(b.column(1), width), b.column(2).to_numpy(), _matrix(b.column(3), len(pivots))
+                ids, x, rows, dx = b.column(0).to_numpy(), _matrix(b.column(1), width, kind), b.column(2).to_numpy(), _matrix(b.column(3), len(pivots))
                 for i in range(len(own)):
-                    eliminate(best, i, rows != own[i], q[i], dq[i], ids, x, dx, top)
+                    eliminate(best, i, rows != own[i], asked[i], dq[i], ids, x, dx, top)
             n = [len(s) for s in best.score]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(named, n)), "query_row": pa.array(np.repeat(own, n)), "vec_id": pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)]).astype(np.int64)), "score": pa.array(np.rint(np.concatenate([*best.score, np.empty(0)])).astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(named, n)), "query_row": pa.array(np.repeat(own, n)), "vec_id": pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)]).astype(np.int64)), "score": pa.array(_whole(np.concatenate([*best.score, np.empty(0, kind)])))})
 
         found = pivot_table.mapInArrow(lean(run), "query_id long, query_row long, vec_id long, score long")
         rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
