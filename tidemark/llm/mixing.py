@@ -121,17 +121,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken (0, 1 or 2), whole, with its own columns.
 
-    A document without words is kept once: it costs no budget.
+    A document without words is kept once: it costs no budget. Columns of any name go through as they are.
     """
-    columns = docs.columns
     sized = measured(docs)
     budget = plan(sized)
     text = F.coalesce(F.col("text"), F.lit(""))
-    source = F.col("source").cast("string")
-    rows = docs.withColumn("_mix_size", F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))).withColumn("_mix_hash", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)), 4))
-    budget = budget.withColumnsRenamed({c: f"_mix_{c}" for c in budget.columns})
-    rows = rows.join(few(budget), source.eqNullSafe(F.col("_mix_source")))
-    part = F.floor(F.col("_mix_rest") / F.greatest(F.col("_mix_edge"), F.lit(1)))
-    more = F.when(F.col("_mix_hash") < F.col("_mix_low"), 1).when((F.col("_mix_hash") < F.col("_mix_high")) & (part * 2 >= F.col("_mix_size")), 1).otherwise(0)
-    times = F.when(F.col("_mix_size") == 0, 1).otherwise(F.col("_mix_copies") + more).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    size, order = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)), 4)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("of"), size.alias("size"), order.alias("hash"))
+    rows = rows.join(few(budget), F.col("of").eqNullSafe(F.col("source")))
+    part = F.floor(F.col("rest") / F.greatest(F.col("edge"), F.lit(1)))
+    more = F.when(F.col("hash") < F.col("low"), 1).when((F.col("hash") < F.col("high")) & (part * 2 >= F.col("size")), 1).otherwise(0)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies") + more).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")

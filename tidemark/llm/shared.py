@@ -143,7 +143,7 @@ class Sieve:
     def rows(self, df: DataFrame, key: str, among: bool = True) -> DataFrame:
         """Rows of df whose long column `key` may be among the keys, or those that surely are not. Null keys are neither."""
         kind = "left_semi" if among else "left_anti"
-        return df.filter(F.col(key).isNotNull()).join(F.broadcast(self.buckets), self._bucket(F.col(key)) == F.col("_sieve"), kind)
+        return df.filter(df[key].isNotNull()).join(F.broadcast(self.buckets), self._bucket(df[key]) == self.buckets["_sieve"], kind)
 
 
 _CONTROLS = "[\x1c-\x1f]"
