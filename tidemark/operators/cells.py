@@ -29,12 +29,12 @@ EPOCH = dt.date(1970, 1, 1)
 TABLE = "spec string, date date, estimator string, ticket string, lag int, beta double, instead double"
 
 
-def carried(growth: DataFrame, until: str | None = None) -> DataFrame:
-    """(ticket, date, value, seen) for every month from the panel's first to its last, or to `until`: the last observed value,
+def carried(growth: DataFrame, until: str | None = None, step: int = 1) -> DataFrame:
+    """(ticket, date, value, seen) for every month, or every `step` months, from the panel's first to its last, or to `until`: the last observed value,
     before the first one that one; seen is how many months were observed up to it. Tickets never observed drop out."""
     g = growth.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("ticket", "date", F.col("value").cast("double").alias("value"))
     span = g.agg(F.min("date").alias("a"), F.greatest(F.max("date"), F.to_date(F.lit(until))).alias("b") if until else F.max("date").alias("b")).filter("a is not null")
-    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("date"))
+    months = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {step} month"))).alias("date"))
     x = g.select("ticket").distinct().join(F.broadcast(months)).join(g, ["ticket", "date"], "left")
     back, ahead = W.partitionBy("ticket").orderBy("date").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("ticket").orderBy("date").rowsBetween(0, W.unboundedFollowing)
     return x.select("ticket", "date", F.coalesce(F.last("value", True).over(back), F.first("value", True).over(ahead)).alias("value"), F.count("value").over(back).alias("seen"))
