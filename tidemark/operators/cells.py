@@ -228,3 +228,26 @@ def live_grid(target: DataFrame, cut: str, months_to_print: int, desired: str) -
     first = F.coalesce(F.add_months("last", 3), F.add_months(F.trunc(day, "QUARTER"), 2))
     q = last.select(first.alias("a")).filter(F.col("a") <= F.to_date(F.lit(desired))).select(F.explode(F.sequence("a", F.to_date(F.lit(desired)), F.expr("interval 3 months"))).alias("date"))
     return q.select("date", F.least(months_between(day, F.col("date")), F.lit(max(vintage.VINTAGES))).cast("int").alias("vintage"))
+
+
+def design_rows(specs: DataFrame, members: DataFrame, panel: DataFrame, target: DataFrame, meta: DataFrame, first: str, decay: float = DECAY) -> DataFrame:
+    """(cell, spec, date, id, y, w, x) for estimators that are not lines: of every cell the quarters it learns from, named by
+    their day, and its readings without y, named by their vintage. x holds each ticket's months, month by month, by ticket.
+
+    Arguments as in coefficients() and readings(); designs with factors or lags of the target are left out.
+    """
+    y = target.filter("y is not null").select(F.col("date").alias("q"), F.col("y").cast("double").alias("y"))
+    dates = y.filter(F.col("q") >= F.to_date(F.lit(first))).select(F.col("q").alias("date"))
+    plain = specs.filter("factors = 0 and lags = 0")
+    named = plain.join(F.broadcast(dates)).join(_members_at(members, dates), ["method", "date"] if "as_of" in members.columns else ["method"]).filter(F.col("rank") <= F.col("size"))
+    before = panel.filter(F.col("seen") >= SEEN).select("ticket", F.add_months("date", 3).alias("date"))
+    terms = named.join(before, ["ticket", "date"], "left_semi").select("spec", "date", "ticket", F.explode(F.sequence(F.lit(0), F.col("flat") - 1)).alias("lag"))
+    past = terms.join(F.broadcast(y), F.col("q") < F.col("date")).select("spec", "date", "ticket", "lag", F.datediff("q", F.lit("1970-01-01")).cast("long").alias("id"), "y", weight(F.col("q"), decay).alias("w"), F.add_months("q", -F.col("lag")).alias("month"))
+    now = terms.join(meta.select("ticket", "months_lag"), "ticket", "left").withColumn("id", F.explode(F.array(*map(F.lit, vintage.VINTAGES))).cast("long"))
+    gone = F.greatest(F.col("lag"), (F.coalesce("months_lag", F.lit(1)) - F.col("id")).cast("int"))
+    now = now.select("spec", "date", "ticket", "lag", "id", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("w"), F.add_months("date", -gone).alias("month"))
+    start = F.broadcast(panel.agg(F.min("date").alias("_a")))
+    x = past.unionByName(now).join(start).withColumn("month", F.greatest("month", "_a"))
+    x = x.join(panel.select("ticket", F.col("date").alias("month"), "value"), ["ticket", "month"])
+    x = x.groupBy("spec", "date", "id").agg(F.first("y").alias("y"), F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("lag", "ticket", "value"))).alias("m"))
+    return x.select(F.concat_ws(" ", "spec", F.col("date").cast("string")).alias("cell"), "spec", "date", "id", "y", "w", F.transform("m", lambda s: s["value"]).alias("x"))

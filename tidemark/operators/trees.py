@@ -64,40 +64,40 @@ def impurity(y: np.ndarray, w: np.ndarray, loss: str) -> float:
 
 
 def _absolute(y: np.ndarray, w: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Weighted absolute error around the median of the first k rows, k from 1 to n - 1; place: each row's place."""
+    """Weighted absolute error around the median of the first k rows, k from 1 to n - 1, for each feature; place
+    (features, rows): each row's place."""
     by = np.argsort(y, kind="stable")
-    inside = (place[by][None, :] < np.arange(1, len(y))[:, None]) * w[by]
-    up = np.cumsum(inside, 1)
-    half = up[:, -1:] / 2
-    mid = y[by][(up >= half - 1e-12 * np.maximum(up[:, -1:], 1e-300)).argmax(1)]
-    return (inside * np.abs(y[by][None, :] - mid[:, None])).sum(1)
+    inside = (place[:, None, by] < np.arange(1, len(y))[None, :, None]) * w[by]
+    up = np.cumsum(inside, 2)
+    whole = up[:, :, -1:]
+    mid = y[by][(up >= whole / 2 - 1e-12 * np.maximum(whole, 1e-300)).argmax(2)]
+    return (inside * np.abs(y[by] - mid[:, :, None])).sum(2)
 
 
 def best_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, features: np.ndarray, loss: str, leaf: int) -> tuple[float, int, float] | None:
     """(error left, feature, threshold) of the split with the least error; the first of equals in the order of features."""
     n, best = len(y), None
     whole = impurity(y, w, loss)
-    for f in features:
-        order = np.argsort(x[:, f], kind="stable")
-        v = x[order, f]
+    many = max(1, 4_000_000 // (n * n))
+    for some in (features[i : i + many] for i in range(0, len(features), many)):
+        order = np.argsort(x[:, some], axis=0, kind="stable")
+        v = np.take_along_axis(x[:, some], order, 0)
         ok = v[1:] > v[:-1]
         ok[: leaf - 1] = False
-        if leaf > 1:
-            ok[n - leaf :] = False
-        if not ok.any():
-            continue
+        ok[max(n - leaf, 0) :] = False
         if loss == "squared":
-            ws, s = np.cumsum(w[order]), np.cumsum((w * y)[order])
-            total = float(w @ y**2)
-            left = total - s[:-1] ** 2 / ws[:-1] - (s[-1] - s[:-1]) ** 2 / np.maximum(ws[-1] - ws[:-1], 1e-300)
+            ws, s = np.cumsum(w[order], 0), np.cumsum((w * y)[order], 0)
+            left = float(w @ y**2) - s[:-1] ** 2 / ws[:-1] - (s[-1] - s[:-1]) ** 2 / np.maximum(ws[-1] - ws[:-1], 1e-300)
         else:
-            place = np.empty(n, int)
-            place[order] = np.arange(n)
-            left = _absolute(y, w, place) + _absolute(y, w, n - 1 - place)[::-1]
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(n)[:, None], 0)
+            left = _absolute(y, w, place.T).T + _absolute(y, w, n - 1 - place.T).T[::-1]
         left = np.where(ok, left, np.inf)
-        k = int(left.argmin())
-        if best is None or left[k] < best[0] - 1e-12 * max(whole, 1e-300):
-            best = (float(left[k]), int(f), float((v[k] + v[k + 1]) / 2))
+        at = left.argmin(0)
+        least = left[at, np.arange(len(some))]
+        j = int((least <= least.min() + 1e-12 * whole).argmax())
+        if np.isfinite(least[j]) and (best is None or least[j] < best[0] - 1e-12 * whole):
+            best = (float(least[j]), int(some[j]), float((v[at[j], j] + v[at[j] + 1, j]) / 2))
     return best
 
 

@@ -56,7 +56,7 @@ def titled_exports(spark: SparkSession, path: str) -> DataFrame:
     """(term, place, date, value) of exports: a title line, a blank one, `Day,term: (Place)`, then the data. `<1` is 0."""
     x = spark.read.text(path, wholetext=True).select(F.split(F.col("value"), "\n").alias("l"))
     head = F.element_at("l", 3)
-    x = x.select(F.regexp_extract(head, "^Day,(.*): \\(", 1).alias("term"), F.regexp_extract(head, "\\(([^)]*)\\)", 1).alias("place"), F.explode(F.slice("l", 4, 1_000_000)).alias("row"))
+    x = x.select(F.regexp_extract(head, "^Day,(.*): \\(", 1).alias("term"), F.regexp_extract(head, "\\(([^)]*)\\)", 1).alias("place"), F.explode(F.slice("l", F.lit(4), F.greatest(F.size("l") - 3, F.lit(0)))).alias("row"))
     parts = F.split("row", ",")
     x = x.filter("row <> ''").select("term", "place", F.to_date(parts[0]).alias("date"), parts[1].alias("text"))
     return x.select("term", "place", "date", F.when(F.col("text") == "<1", 0.0).otherwise(F.expr("try_cast(text as double)")).alias("value"))
