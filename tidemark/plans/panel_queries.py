@@ -75,14 +75,14 @@ def a31(s, d):
 
 @query(
     "a32_aligned_daily",
-    """, x AS (SELECT sector, date, avg(value) AS value FROM daily WHERE site % 7 = 0 GROUP BY 1, 2), c AS (SELECT CAST(m AS DATE) AS date FROM (SELECT min(date) AS a, max(date) AS b FROM daily), unnest(generate_series(a, b, INTERVAL 1 DAY)) AS t(m)),
+    """, x AS (SELECT sector, date, avg(value) AS value FROM daily GROUP BY 1, 2), c AS (SELECT CAST(m AS DATE) AS date FROM (SELECT min(date) AS a, max(date) AS b FROM daily), unnest(generate_series(a, b, INTERVAL 1 DAY)) AS t(m)),
 g AS (SELECT c.date, v.value AS view, k.value AS click FROM c LEFT JOIN (SELECT * FROM x WHERE sector = 'view') v USING (date) LEFT JOIN (SELECT * FROM x WHERE sector = 'click') k USING (date))
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days, count(view) AS view_days, round(avg(view), 6) AS view, round(avg(click), 6) AS click FROM g GROUP BY 1""",
 )
 def a32(s, d):
     """Two daily sources on one calendar of days, then their means within months."""
     all_days = daily(s, d)
-    x = all_days.filter("site % 7 = 0").groupBy("date").pivot("sector", ["view", "click"]).agg(F.avg("value"))
+    x = all_days.groupBy("date").pivot("sector", ["view", "click"]).agg(F.avg("value"))
     c = all_days.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"))
     out = c.join(x, "date", "left").groupBy(month("date").alias("month")).agg(F.count("*").alias("days"), F.count("view").alias("view_days"), F.avg("view").alias("view"), F.avg("click").alias("click"))
     return rounded(out, "view", "click")
@@ -217,11 +217,11 @@ def d20(s, d):
 # ---------------------------------------------------------------- pool
 
 
-@query("e01_long_pool", POOL + " SELECT date, spec, vintage, pred FROM readings WHERE vintage IN (-1, 0, 1) AND pred IS NOT NULL")
+@query("e01_long_pool", POOL + " SELECT date, spec, vintage, pred FROM readings WHERE pred IS NOT NULL")
 def e01(s, d):
     """Readings with a column for each vintage become rows again; missing ones drop."""
-    wide = readings(s, d).groupBy("date", "spec").pivot("vintage", [-1, 0, 1]).agg(F.first("pred"))
-    long = wide.unpivot(["date", "spec"], ["-1", "0", "1"], "vintage", "pred")
+    wide = readings(s, d).groupBy("date", "spec").pivot("vintage", list(vintage.VINTAGES)).agg(F.first("pred"))
+    long = wide.unpivot(["date", "spec"], [str(v) for v in vintage.VINTAGES], "vintage", "pred")
     return long.filter("pred is not null").select("date", "spec", F.col("vintage").cast("int").alias("vintage"), "pred")
 
 
@@ -264,13 +264,13 @@ def m25(s, d):
 # ---------------------------------------------------------------- incremental jobs and sites
 
 
-@query("n04_site_upsert", ", a AS (SELECT user_id, CAST(ts AS DATE) AS date, value, event_id FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, date ORDER BY event_id DESC) AS r FROM a WHERE NOT (event_id % 10 = 0 AND date < DATE '2024-01-10')) SELECT user_id, date, value FROM k WHERE r = 1")
+@query("n04_site_upsert", ", k AS (SELECT user_id, CAST(ts AS DATE) AS date, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id % 2 DESC, event_id DESC) AS r FROM events) SELECT user_id, date, value FROM k WHERE r = 1")
 def n04(s, d):
-    """Stored readings and a batch that arrived later, by site and date: the last arrival stays."""
+    """Stored readings and a batch with the same sites and dates in part: what arrives replaces what is stored, the rest stays."""
     e = read(s, d, "events").select("user_id", F.to_date("ts").alias("date"), "value", "event_id")
-    e = e.filter("not (event_id % 10 = 0 and date < date'2024-01-10')")
-    stored, arrived = e.filter("date < date'2024-01-15'"), e.filter("date >= date'2024-01-15'")
-    return stored.unionByName(arrived).groupBy("user_id", "date").agg(F.max_by("value", "event_id").alias("value"))
+    last = lambda part: e.filter(f"event_id % 2 = {part}").groupBy("user_id", "date").agg(F.max_by("value", "event_id").alias("value"))
+    stored, arrived = last(0), last(1)
+    return stored.join(arrived, ["user_id", "date"], "left_anti").unionByName(arrived)
 
 
 @query("n08_before_after", " SELECT sector, site, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS change FROM (SELECT sector, site, round(avg(value), 6) AS value FROM daily WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1, 2) a JOIN (SELECT sector, site, round(avg(value), 6) AS value FROM daily WHERE date BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' GROUP BY 1, 2) b USING (sector, site)")

@@ -99,6 +99,8 @@ def s23(s, d):
 def s24(s, d):
     """A sheet with a column a year, melted; empty cells drop out."""
     path = files.folder(s)
-    obs(s, d).withColumn("year", F.year("date")).groupBy("ticket").pivot("year").agg(F.sum("value")).coalesce(1).write.csv(path, header=True)
+    x = obs(s, d).withColumn("year", F.year("date"))
+    first, last = x.agg(F.min("year"), F.max("year")).first()
+    x.groupBy("ticket").pivot("year", list(range(first, last + 1))).agg(F.sum("value")).write.csv(path, header=True)
     wide = s.read.csv(path, header=True)
     return wide.unpivot("ticket", [c for c in wide.columns if c != "ticket"], "year", "value").filter("value is not null").select("ticket", F.col("year").cast("int").alias("year"), F.col("value").cast("double").alias("value"))
