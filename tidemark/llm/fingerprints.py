@@ -107,7 +107,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """A single document is its own successor. Equal texts have equal fingerprints, whatever their ids."""
+    """Fingerprints of every row and of its edited text. A single document is its own successor. Equal texts have equal
+    fingerprints, whatever their ids. Null texts are empty, null ids come first, rows of one id follow one another by text. Texts
+    of any length give all their shingles. Other columns are not read. An empty table gives no rows."""
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

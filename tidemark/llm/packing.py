@@ -103,6 +103,7 @@ def pack(items: DataFrame, room: int = LENGTH, group_rows: int = GROUP) -> DataF
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids; odd rows as in pack_documents(). Texts of any length are cut into pieces."""
     return pack_documents(documents(spark, sf_dir), default_tokenizer())
 
 

@@ -314,6 +314,7 @@ def read_keys(keys: DataFrame, folder: str, shards: int | None = None) -> DataFr
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back; odd rows as in file_digest()."""
     return file_digest(documents(spark, sf_dir), default_tokenizer(), 2)
 
 
