@@ -89,7 +89,7 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
 
 
 #: Rows that Spark sends to a Python worker at a time: whole texts are long, and each worker and JVM holds several batches.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -149,7 +149,7 @@ class Sieve:
 _CONTROLS = "[\x1c-\x1f]"
 _SEGMENT = 1 << 20
 #: Bytes of text that are split into words at a time, and bytes of word parts and ids that the cache holds about.
-_CHUNK, _CACHE = 4 << 20, 48 << 20
+_CHUNK, _CACHE = 1 << 20, 24 << 20
 #: Letters up to U+024F but the dotted capital I, whose lower case is two characters; then any marks.
 _PARTS = r"^(?P<letters>[A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
