@@ -175,6 +175,21 @@ def test_rankings_as_of_a_quarter(spark, world):
     assert used == {("2001-03-01", names[0]), ("2001-06-01", names[0]), ("2001-09-01", names[1])}
 
 
+def test_design_rows_hold_what_lines_learn_from_and_read(spark, world):
+    """A line fitted on the rows of a cell, applied to the rows of its vintages, gives that line's readings."""
+    names = [r[0] for r in world["x"].select("ticket").distinct().orderBy("ticket").limit(3).collect()]
+    s, m = spec(spark, "s", 3, 0, 2, 0, ["OLS"]), members(spark, names)
+    table = cells.coefficients(s, m, world["x"], world["y"], FIRST, FIRST)
+    want = {r["vintage"]: r["pred"] for r in cells.readings(table, world["x"], world["lags"]).collect()}
+    rows = [r for r in cells.design_rows(s, m, world["x"], world["y"], world["lags"], FIRST).collect() if str(r["date"]) == FIRST]
+    past, now = [r for r in rows if r["y"] is not None], {r["id"]: r["x"] for r in rows if r["y"] is None}
+    past = sorted(past, key=lambda r: r["id"])
+    first = min(r["id"] for r in past)
+    past = [r for r in past if r["id"] > first or len(r["x"]) == 6]
+    c, b = E.least_squares(np.array([r["x"] for r in past]), np.array([r["y"] for r in past]), np.array([r["w"] for r in past]))
+    close({v: c + np.array(x) @ b for v, x in now.items()}, want)
+
+
 def test_empty_tables(spark, world):
     none = world["x"].limit(0)
     assert cells.coefficients(spec(spark, "s", 1, 0, 1, 0, ["OLS"]), members(spark, ["a"]), none, world["y"], FIRST).count() == 0

@@ -243,7 +243,7 @@ def design_rows(specs: DataFrame, members: DataFrame, panel: DataFrame, target:
     before = panel.filter(F.col("seen") >= SEEN).select("ticket", F.add_months("date", 3).alias("date"))
     terms = named.join(before, ["ticket", "date"], "left_semi").select("spec", "date", "ticket", F.explode(F.sequence(F.lit(0), F.col("flat") - 1)).alias("lag"))
     past = terms.join(F.broadcast(y), F.col("q") < F.col("date")).select("spec", "date", "ticket", "lag", F.datediff("q", F.lit("1970-01-01")).cast("long").alias("id"), "y", weight(F.col("q"), decay).alias("w"), F.add_months("q", -F.col("lag")).alias("month"))
-    now = terms.join(meta.select("ticket", "months_lag"), "ticket", "left").withColumn("id", F.explode(F.array(*map(F.lit, vintage.VINTAGES))).cast("long"))
+    now = terms.join(meta.select("ticket", "months_lag"), "ticket", "left").withColumn("id", F.explode(F.array(*[F.lit(v).cast("long") for v in vintage.VINTAGES])))
     gone = F.greatest(F.col("lag"), (F.coalesce("months_lag", F.lit(1)) - F.col("id")).cast("int"))
     now = now.select("spec", "date", "ticket", "lag", "id", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("w"), F.add_months("date", -gone).alias("month"))
     start = F.broadcast(panel.agg(F.min("date").alias("_a")))
