@@ -52,10 +52,11 @@ def s05(s, d):
     return files.json_observations(s, path)
 
 
-@query("s07_exports", ", x AS (SELECT sector AS term, date, round(avg(value), 3) AS value FROM daily GROUP BY 1, 2) SELECT term, 'World' AS place, date, CASE WHEN value < 50 THEN 0 ELSE value END AS value FROM x")
+@query("s07_exports", ", x AS (SELECT sector AS term, date, round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(value), 3) AS value FROM daily GROUP BY 1, 2) SELECT term, 'World' AS place, date, CASE WHEN value < 50 THEN 0 ELSE value END AS value FROM x")
 def s07(s, d):
     path = files.folder(s)
-    x = daily(s, d).groupBy("sector", "date").agg(F.round(F.avg("value"), 3).alias("value"))
+    # readings have six places, so decimals give the exact mean, whatever the order of summation
+    x = daily(s, d).groupBy("sector", "date").agg(F.round(F.avg(F.col("value").cast("decimal(20,6)")), 3).cast("double").alias("value"))
     row = F.concat_ws(",", F.col("date").cast("string"), F.when(F.col("value") < 50, "<1").otherwise(F.col("value").cast("string")))
     one = x.groupBy("sector").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
     one.select("sector", F.concat(F.lit("Interest over time\n\nDay,"), "sector", F.lit(": (World)\n"), "rows").alias("value")).write.partitionBy("sector").text(path)
