@@ -52,7 +52,7 @@ def s05(s, d):
     return files.json_observations(s, path)
 
 
-@query("s07_exports", ", x AS (SELECT sector AS term, date, round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(value), 3) AS value FROM daily GROUP BY 1, 2) SELECT term, 'World' AS place, date, CASE WHEN value < 50 THEN 0 ELSE value END AS value FROM x")
+@query("s07_exports", ", x AS (SELECT sector AS term, date, ((2 * sum(CAST(round(value * 1000000) AS BIGINT)) + 1000 * count(value)) // (2000 * count(value))) / 1000.0 AS value FROM daily GROUP BY 1, 2) SELECT term, 'World' AS place, date, CASE WHEN value < 50 THEN 0 ELSE value END AS value FROM x")
 def s07(s, d):
     path = files.folder(s)
     # readings have six places, so decimals give the exact mean, whatever the order of summation
