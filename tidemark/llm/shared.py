@@ -92,11 +92,11 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_
 BATCH_ROWS = 500
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send at most BATCH_ROWS rows at a time to Python workers from now on, if the session sends more."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send at most `rows` rows at a time to Python workers from now on, if the session sends more."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def give_back() -> None:
@@ -165,7 +165,7 @@ class Encoder:
     marks word ends: it does the same, and far fewer parts than words are new. Any other word is one part.
     """
 
-    def __init__(self, path: str, most_bytes: int = _CACHE):
+    def __init__(self, path: str, most_bytes: int = _CACHE, chunk: int = _CHUNK):
         import os
 
         import numpy as np
@@ -173,7 +173,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most_bytes
+        self.tokenizer, self.most, self.chunk = Tokenizer.from_file(path), most_bytes, chunk
         self.parts, self.held = {}, 0
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = None  # by id: whether it ends a word, where the vocabulary marks that
@@ -247,7 +247,7 @@ class Encoder:
         stops = [*alone.tolist(), n]
         for stop in stops:
             while at < stop:
-                end = min(stop, max(at + 1, int(np.searchsorted(size, size[at] + _CHUNK, "right")) - 1))
+                end = min(stop, max(at + 1, int(np.searchsorted(size, size[at] + self.chunk, "right")) - 1))
                 yield end - at, *self._run(texts.slice(at, end - at))
                 at = end
             if at < n:
@@ -303,11 +303,12 @@ def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per Python worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, scale: int = 1) -> Encoder:
+    """One per Python worker, vocabulary file and scale of its cache and runs."""
+    key = f"{scale} {path}"
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, scale * _CACHE, scale * _CHUNK)
+    return _encoders[key]
 
 
 def clear_words() -> None:

@@ -36,10 +36,10 @@ def lengths(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """(length, documents): how many documents have each encoded length. Tasks count before anything is shuffled.
     Null and empty texts have length `end` (the number of end tokens counted)."""
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(tokenizer), Counter()
+        enc, seen = encoder(tokenizer, 2), Counter()
         for b in batches:
             for _, _, ends in enc.batches(b.column(0)):
                 n, times = np.unique(np.diff(ends, prepend=0) + end, return_counts=True)
@@ -199,7 +199,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
     (shard, documents, tokens, base): base counts the ids of all shards before.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     slim = docs.select(order_key().alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, starts = range_buckets(slim, "_key", rows_per_shard)
     from tokenizers import Tokenizer
@@ -210,7 +210,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rows
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc, (out, top) = encoder(tokenizer), _files(folder)
+        enc, (out, top) = encoder(tokenizer, 2), _files(folder)
         shard, sink, keys, offsets, done = None, None, [], [0], []
         name = uuid.uuid4().hex
 
