@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,14 @@ def spec_parts(name: Column, pattern: str = r"^([A-Za-z]+)#?(\d+)(.*)$") -> list
     return [part(1).alias("method"), F.nullif(part(2), F.lit("")).cast("int").alias("k"), part(3).alias("variant")]
 
 
-def vintage_name(v: Column) -> Column:
+#: Names of the vintages of the grid from -2 to 2.
+LEGACY = {-2: "two_back", -1: "one_back", 0: "zero_back", 1: "one_ahead", 2: "two_ahead"}
+
+
+def vintage_name(v: Column, grid: Iterable[int] = ()) -> Column:
+    """The column name of a vintage; the grid from -2 to 2, and no other, has names of its own."""
+    if sorted(grid) == sorted(LEGACY):
+        return F.element_at(F.create_map(*[F.lit(x) for pair in LEGACY.items() for x in pair]), v.cast("int"))
     return F.format_string("p%+d", v)
 
 

@@ -103,3 +103,28 @@ def regime(broad: DataFrame, least: int = 4, percent: int = 5) -> DataFrame:
 
 def first_shock(regimes: DataFrame) -> DataFrame:
     return regimes.filter("shock").groupBy("quarter").agg(F.min("vintage").alias("vintage"))
+
+
+def box(errors: DataFrame, column: str, keys: list[str], reach: float = 1.5) -> DataFrame:
+    """Box statistics: quartiles, the lowest and highest value within `reach` quartile ranges of the box, values beyond."""
+    x = errors.filter(F.col(column).isNotNull())
+    q = x.groupBy(*keys).agg(*[F.percentile(column, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
+    v, inside = F.col(column), F.col(column).between(low, high)
+    return x.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("beyond"))
+
+
+def scored(nowcasts: DataFrame, target: DataFrame) -> DataFrame:
+    """By vintage and sample, all quarters or those behind the burn-in: errors of the nowcast, of the pool's median and of no
+    change, and how many prints lie in the bands.
+
+    nowcasts: (date, vintage, nowcast, median, actual, burn_in, lo_80, hi_80, lo_95, hi_95); target: (date, growth).
+    """
+    before = target.select("date", F.lag("growth").over(W.orderBy("date")).alias("_nc"))
+    x = nowcasts.filter("actual is not null").join(F.broadcast(before), "date", "left")
+    x = x.withColumn("sample", F.explode(F.when(F.col("burn_in"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("after")))))
+    e = lambda c: F.col(c) - F.col("actual")
+    hit = lambda a: F.count_if(F.col("actual").between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
+    return x.groupBy("vintage", "sample").agg(
+        F.count("*").alias("quarters"), rms(e("nowcast")).alias("rmse"), F.avg(F.abs(e("nowcast"))).alias("mae"), rms(e("median")).alias("rmse_median"), rms(e("_nc")).alias("rmse_no_change"), hit(80).alias("in_80"), hit(95).alias("in_95")
+    )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import months_between
 from tidemark.operators import vintage
-from tidemark.operators.estimators import LINES, standardised
+from tidemark.operators.estimators import LINES, Estimator, standardised
 
 #: Tickets that stand for the constant and for the target's own quarters.
 CONSTANT, OWN = "1", "y"
@@ -83,7 +83,7 @@ def _stamp(day: int) -> dt.date:
     return EPOCH + dt.timedelta(days=int(day))
 
 
-def fit(months: np.ndarray, at: np.ndarray, y: np.ndarray, own: np.ndarray, w: np.ndarray, flat: int, factors: int, estimators: list[str]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+def fit(months: np.ndarray, at: np.ndarray, y: np.ndarray, own: np.ndarray, w: np.ndarray, flat: int, factors: int, estimators: list[str], lines: dict[str, Estimator] = LINES) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
     """By estimator: constant, coefficients (tickets x months back), coefficients of own lags.
 
     months: tickets x months up to the last quarter learned from; at: column of each quarter. Factors come from all these
@@ -99,7 +99,7 @@ def fit(months: np.ndarray, at: np.ndarray, y: np.ndarray, own: np.ndarray, w: n
     k = len(base)
     out = {}
     for e in estimators:
-        c, b = LINES[e](x, y, w)
+        c, b = lines[e](x, y, w)
         beta, rest = b[: k * flat].reshape(flat, k).T, b[k * flat :]
         if back is not None:
             beta = back[0].T @ beta
@@ -108,7 +108,7 @@ def fit(months: np.ndarray, at: np.ndarray, y: np.ndarray, own: np.ndarray, w: n
     return out
 
 
-def coefficients(specs: DataFrame, members: DataFrame, panel: DataFrame, target: DataFrame, first: str, last: str | None = None, leave: str | None = None, decay: float = DECAY) -> DataFrame:
+def coefficients(specs: DataFrame, members: DataFrame, panel: DataFrame, target: DataFrame, first: str, last: str | None = None, leave: str | None = None, decay: float = DECAY, lines: dict[str, Estimator] = LINES, live: str | None = None) -> DataFrame:
     """The coefficient table (spec, date, estimator, ticket, lag, beta, instead) of all specifications at each quarter of the
     target from `first` on; `instead` stands for a quarter of the target that is not known.
 
@@ -116,13 +116,17 @@ def coefficients(specs: DataFrame, members: DataFrame, panel: DataFrame, target:
     (method, as_of, ticket, rank), where the latest ranking at or before the test quarter counts, else the earliest. panel as
     carried() gives it. A cell learns from quarters before its own; tickets with fewer than SEEN observed months by then are
     left out, as is quarter `leave`, if given. A cell is one row of arrays per ticket, so it fits one task; the target's
-    quarters, few by nature, come to the driver.
+    quarters, few by nature, come to the driver. lines: the functions of (x, y, w) behind
+    the names of estimators; any function that returns a constant and coefficients can be one. live: one more quarter, which
+    needs no print, whose cells learn from all prints before it.
     """
     rows = target.filter("y is not null").select("date", F.col("y").cast("double")).orderBy("date").collect()
     days, ys = np.array([(r[0] - EPOCH).days for r in rows]), np.array([r[1] for r in rows])
     start = panel.agg(F.min("date")).first()[0]
     tests = [r[0] for r in rows if str(r[0]) >= first and (last is None or str(r[0]) <= last)]
-    if start is None or not tests:
+    if live and dt.date.fromisoformat(live) not in tests:
+        tests.append(dt.date.fromisoformat(live))
+    if start is None or not rows or not tests:
         return panel.sparkSession.createDataFrame([], TABLE)
     place = np.array([(r[0].year - start.year) * 12 + r[0].month - start.month for r in rows])
     gone = (dt.date.fromisoformat(leave) - EPOCH).days if leave else None
@@ -149,7 +153,7 @@ def coefficients(specs: DataFrame, members: DataFrame, panel: DataFrame, target:
         own = np.where(np.isnan(own), means, own) if lags else own
         w = decay ** ((days[use].max() - days[use]) / 90.0)
         out = []
-        for name, (c, beta, rest) in fit(months, place[use], ys[use], own, w, flat, factors, list(t["estimators"].iloc[0])).items():
+        for name, (c, beta, rest) in fit(months, place[use], ys[use], own, w, flat, factors, list(t["estimators"].iloc[0]), lines).items():
             out += [(name, CONSTANT, 0, c, None)] + [(name, v, k, float(beta[i, k]), None) for i, v in enumerate(t["ticket"]) for k in range(flat)]
             out += [(name, OWN, k + 1, float(rest[k]), float(means[k])) for k in range(lags)]
         done = pd.DataFrame(out, columns=["estimator", "ticket", "lag", "beta", "instead"]).astype({"lag": "int32", "instead": "float64"})

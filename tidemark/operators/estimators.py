@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 
 Line = tuple[float, np.ndarray]
+Estimator = Callable[[np.ndarray, np.ndarray, np.ndarray], Line]
 ALPHAS = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 20.0)
 
 
@@ -163,5 +165,60 @@ def lasso(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Line:
     return elastic_net(x, y, w, (1.0,))
 
 
+def shrunk(gram: np.ndarray, cross: np.ndarray, beta: np.ndarray, alpha: float, ratio: float) -> np.ndarray:
+    """Coefficients of many problems at one penalty, `ratio` of it absolute; from beta on, unless all of it is square."""
+    if ratio:
+        one = np.ones(len(cross))
+        return descend(gram, cross, beta, alpha * ratio * one, alpha * (1 - ratio) * one)
+    return np.linalg.solve(gram + alpha * np.eye(gram.shape[1]), cross[..., None])[..., 0]
+
+
+def contiguous(x: np.ndarray, y: np.ndarray, w: np.ndarray, ratio: float = 1.0, folds: int = 5, count: int = 60, one_error: bool = False) -> Line:
+    """Standardised columns; the penalty, `ratio` of it absolute, has the least weighted error over folds of neighbouring
+    rows, each judged by all the others. With one_error it is the largest one whose error lies within a standard error, over
+    folds, of the least. Fewer than two rows leave the constant alone."""
+    z, mean, sd = standardised(x)
+    gram, cross, mz, my = moments(z, y, w)
+    grid = penalties(cross, max(ratio, 1e-3), count, 1e-4 if len(y) > x.shape[1] else 1e-2)
+    parts = np.array_split(np.arange(len(y)), min(folds, len(y)))
+    at = 0
+    if len(parts) > 1:
+        found = [moments(np.delete(z, p, 0), np.delete(y, p), np.delete(w, p)) for p in parts]
+        grams, crosses = np.stack([f[0] for f in found]), np.stack([f[1] for f in found])
+        beta, error = np.zeros_like(crosses), np.zeros((len(parts), count))
+        for k, alpha in enumerate(grid):
+            beta = shrunk(grams, crosses, beta, alpha, ratio)
+            for i, p in enumerate(parts):
+                off = y[p] - found[i][3] - (z[p] - found[i][2]) @ beta[i]
+                error[i, k] = w[p] @ off**2 / w[p].sum()
+        share = np.array([w[p].sum() for p in parts]) / w.sum()
+        whole = share @ error
+        at = int(whole.argmin())
+        if one_error:
+            spread = np.sqrt(share @ (error[:, at] - whole[at]) ** 2 / (len(parts) - 1))
+            at = int(np.flatnonzero(whole <= whole[at] + spread)[0])
+    if ratio:
+        return net_line(z, mean, sd, y, w, ratio, float(grid[at]))
+    b = shrunk(gram[None], cross[None], np.zeros((1, len(cross))), float(grid[at]), 0.0)[0] / sd
+    return float(my - (mz * sd + mean) @ b), b
+
+
+def survival(x: np.ndarray, y: np.ndarray, w: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of standardised columns at every penalty of the lasso, and the largest penalty at which each column is
+    still in use, 0 if it never is."""
+    z = standardised(x)[0]
+    gram, cross, _, _ = moments(z, y, w)
+    order = np.argsort(-alphas)
+    beta, path = np.zeros((1, len(cross))), np.zeros((len(alphas), len(cross)))
+    for k in order:
+        beta = shrunk(gram[None], cross[None], beta, float(alphas[k]), 1.0)
+        path[k] = beta[0]
+    return path, np.where(np.abs(path) > 1e-10, alphas[:, None], 0.0).max(0)
+
+
 #: Name of an estimator to the function that fits it; any other function of (x, y, w) can stand beside them.
 LINES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], Line]] = {"OLS": least_squares, "OLSR": ridge, "ENET": elastic_net, "LASSO": lasso}
+#: Penalties by folds of neighbouring quarters: of least error, and the largest within a standard error of it.
+FOLDED: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], Line]] = {
+    "RIDGE": partial(contiguous, ratio=0.0), "RIDGE1": partial(contiguous, ratio=0.0, one_error=True), "LASSO": contiguous, "LASSO1": partial(contiguous, one_error=True)
+}

@@ -129,6 +129,23 @@ def capped(daily: DataFrame, share: float = 0.9) -> DataFrame:
     return x.crossJoin(F.broadcast(low)).withColumn("value", F.when(F.col("value") > F.col("cut"), F.col("low")).otherwise(F.col("value"))).drop("cut", "low")
 
 
+def to_months(obs: DataFrame, kinds: DataFrame, yearly: str = "jan") -> DataFrame:
+    """Observations of any frequency at month starts: of a month, quarter or year the last one counts. Quarters are stamped
+    at their last month; a year at its January, or with yearly="ffill" or "mean" at all its months.
+
+    kinds: (ticket, frequency), frequency `daily`, `monthly`, `quarterly` or `yearly`; any other, or none, as monthly.
+    """
+    if yearly not in ("jan", "ffill", "mean"):
+        raise ValueError("yearly must be jan, ffill or mean")
+    unit = F.when(F.col("frequency") == "quarterly", "QUARTER").when(F.col("frequency") == "yearly", "YEAR").otherwise("MONTH")
+    x = obs.filter("value is not null").join(kinds.select("ticket", "frequency"), "ticket", "left").withColumn("_u", unit)
+    at = F.when(F.col("_u") == "QUARTER", F.add_months(F.trunc("date", "QUARTER"), 2)).when(F.col("_u") == "YEAR", F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MONTH"))
+    x = x.groupBy("ticket", "_u", at.alias("_at")).agg(F.max_by("value", "date").alias("value"))
+    spread = F.when(F.col("_u") == "YEAR", F.sequence("_at", F.add_months("_at", 11), F.expr("interval 1 month"))).otherwise(F.array("_at"))
+    date = F.col("_at") if yearly == "jan" else F.explode(spread)
+    return x.select("ticket", date.alias("date"), "value")
+
+
 def deflated(obs: DataFrame, meta: DataFrame, index: DataFrame, base_year: int) -> DataFrame:
     """Nominal series over the price index, times its mean in the base year."""
     base = index.filter(F.year("date") == base_year).agg(F.avg("price").alias("base"))

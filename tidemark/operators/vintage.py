@@ -60,6 +60,20 @@ def target_lags(target: DataFrame, lag_months: int, lags: int = 2) -> DataFrame:
     return j.select("date", "vintage", "l", "y")
 
 
+def chained_lags(nowcasts: DataFrame, target: DataFrame, lag_months: int, lags: int = 2) -> DataFrame:
+    """(date, vintage, l, y): the target l quarters before each (quarter, vintage): its print if published by then, else its
+    own latest nowcast made by then, else the latest print before it. nowcasts: (date, vintage, nowcast)."""
+    g = grid(target).withColumn("l", F.explode(F.array(*map(F.lit, range(1, lags + 1))))).withColumn("q", F.add_months("date", -3 * F.col("l")))
+    key = ["date", "vintage", "l"]
+    n = nowcasts.filter("nowcast is not null").select(F.col("date").alias("q"), F.col("vintage").alias("_at"), "nowcast")
+    own = g.join(n, "q").filter(F.col("_at") <= F.col("vintage") + 3 * F.col("l")).groupBy(*key).agg(F.max_by("nowcast", "_at").alias("own"))
+    p = target.filter("y is not null").select(F.col("date").alias("p"), "y")  # one row a quarter
+    seen = g.join(F.broadcast(p), (F.col("p") <= F.col("q")) & (F.add_months("p", lag_months) <= F.add_months("date", F.col("vintage"))))
+    seen = seen.groupBy(*key).agg(F.max_by("y", "p").alias("recent"), F.max("p").alias("recent_date"))
+    x = g.join(own, key, "left").join(seen, key, "left")
+    return x.select(*key, F.coalesce(F.when(F.col("recent_date") == F.col("q"), F.col("recent")), "own", "recent").alias("y"))
+
+
 def folds(quarters: DataFrame, first: int = 16, step: int = 2, ahead: int = 4) -> DataFrame:
     """Expanding-window folds: (fold, quarter, part), part train or test."""
     q = quarters.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")) - 1)

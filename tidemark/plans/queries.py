@@ -275,7 +275,7 @@ def r01(s, d):
 
 def _register() -> None:
     """The other modules of queries register their own when they are imported."""
-    from tidemark.plans import accuracy_queries, cell_queries, ensemble_queries, panel_queries, pool_queries, preparation_queries, selection_queries, shaping_queries, sheet_queries, site_queries, source_queries  # noqa: F401
+    from tidemark.plans import accuracy_queries, cell_queries, choice_queries, ensemble_queries, panel_queries, pool_queries, preparation_queries, selection_queries, shaping_queries, sheet_queries, site_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
