@@ -192,16 +192,16 @@ _P = """CASE WHEN df % 2 = 1 THEN 2 / pi() * (a + CASE WHEN df > 1 THEN sin(a) *
 @query(
     "m22_p_values",
     f""", f AS (SELECT ticket, count(*) AS n, regr_slope(y.growth, q.growth) AS slope, sqrt((1 - regr_r2(y.growth, q.growth)) * regr_syy(y.growth, q.growth) / (count(*) - 2) / regr_sxx(y.growth, q.growth)) AS se FROM qgrowth q JOIN ygrowth y USING (date) WHERE q.growth IS NOT NULL AND y.growth IS NOT NULL GROUP BY 1 HAVING count(*) > 2 AND var_pop(q.growth) > 0),
-a AS (SELECT ticket, n - 2 AS df, slope / se AS t, atan(abs(slope / se) / sqrt(n - 2)) AS a FROM f WHERE se > 0) SELECT ticket, df, round(t, 5) AS t, round(greatest(1 - ({_P}), 0), 5) AS p FROM a""",
+a AS (SELECT ticket, n - 2 AS df, round(slope / se, 4) AS t, atan(abs(round(slope / se, 4)) / sqrt(n - 2)) AS a FROM f WHERE se > 0) SELECT ticket, df, t, round(greatest(1 - ({_P}), 0), 5) AS p FROM a""",
 )
 def m22_p(s, d):
-    """Slope of the target's growth on each series': t statistic and two-sided p-value."""
+    """Slope of the target's growth on each series': t statistic to four places, and its two-sided p-value."""
     g, y = _growths(s, d)
     c = ("y", "growth")
     x = g.filter("growth is not null").join(F.broadcast(y.filter("growth is not null").withColumnRenamed("growth", "y")), "date").groupBy("ticket")
     x = x.agg(F.count("*").alias("n"), F.regr_slope(*c).alias("slope"), F.regr_r2(*c).alias("r2"), F.regr_syy(*c).alias("syy"), F.regr_sxx(*c).alias("sxx")).filter("n > 2 and sxx > 0")
-    x = x.withColumn("df", F.col("n") - 2).withColumn("se", F.sqrt((1 - F.col("r2")) * F.col("syy") / F.col("df") / F.col("sxx"))).filter("se > 0").withColumn("t", F.col("slope") / F.col("se"))
-    return x.select("ticket", "df", F.round("t", 5).alias("t"), F.round(choice.two_sided(F.col("t"), F.col("df")), 5).alias("p"))
+    x = x.withColumn("df", F.col("n") - 2).withColumn("se", F.sqrt((1 - F.col("r2")) * F.col("syy") / F.col("df") / F.col("sxx"))).filter("se > 0").withColumn("t", F.round(F.col("slope") / F.col("se"), 4))
+    return x.select("ticket", "df", "t", F.round(choice.two_sided(F.col("t"), F.col("df")), 5).alias("p"))
 
 
 THETAS = (0.0, -0.25, -0.5, -1.0, -2.0)

@@ -144,3 +144,11 @@ def r04_stream(s, d):
     x = obs(s, d).join(meta(s, d), "ticket").select("ticket", "date", "value", F.add_months("date", F.col("months_lag")).alias("published"))
     x.repartitionByRange(4, "published").write.parquet(path)
     return arrivals.known_at(s, path, files.folder(s), "2001-06-01")
+
+
+@query("r03_stream_months", " SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, count(*) AS n, round(avg(value), 5) AS mean FROM events GROUP BY 1, 2")
+def r03_stream(s, d):
+    """The month's aggregate of readings, kept while files arrive."""
+    path = files.folder(s)
+    read(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").repartitionByRange(4, "ts").write.parquet(path)
+    return arrivals.monthly(s, path, files.folder(s)).withColumn("mean", F.round("mean", 5))

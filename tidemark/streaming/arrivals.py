@@ -15,18 +15,23 @@ def _drain(stream: DataFrame, state: str, batch, mode: str = "append") -> None:
 
 
 def latest(spark: SparkSession, path: str, state: str) -> DataFrame:
-    """(user_id, date, event_id, value): of the readings of a site and day the one with the largest event_id. Each batch
-    is merged with the table of the batch before and written as a new one, so a batch that runs again gives the same."""
+    """(user_id, date, event_id, value): of the readings of a site and day the one with the largest event_id. The table lies
+    by month; a batch reads and replaces the months it touches only, by way of a written copy, so a batch that runs again
+    gives the same."""
+    table = f"{state}/table"
 
     def upsert(new: DataFrame, k: int) -> None:
-        both = new if k == 0 else new.unionByName(new.sparkSession.read.parquet(f"{state}/table-{k - 1}"))
-        x = both.groupBy("user_id", "date").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("x"))
-        x.select("user_id", "date", "x.event_id", "x.value").write.mode("overwrite").parquet(f"{state}/table-{k}")
-        last[0] = k
+        x = new.withColumn("month", F.date_format("date", "yyyyMM").cast("int"))
+        if k:
+            touched = F.broadcast(x.select("month").distinct())  # months, few by nature
+            x = x.unionByName(new.sparkSession.read.parquet(table).join(touched, "month", "left_semi").select(*x.columns))
+        x = x.groupBy("month", "user_id", "date").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("x"))
+        x.select("month", "user_id", "date", "x.event_id", "x.value").write.mode("overwrite").parquet(f"{state}/batch-{k}")
+        done = new.sparkSession.read.parquet(f"{state}/batch-{k}").repartition("month", F.pmod(F.hash("user_id"), F.lit(8)))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
 
-    last = [0]
     _drain(_files(spark, path), state, upsert)
-    return spark.read.parquet(f"{state}/table-{last[0]}")
+    return spark.read.parquet(table).select("user_id", "date", "event_id", "value")
 
 
 def complete_days(spark: SparkSession, path: str, state: str, tiles: int = 4, late: str = "40 days") -> DataFrame:
@@ -54,3 +59,18 @@ def known_at(spark: SparkSession, path: str, state: str, reading: str) -> DataFr
 
     _drain(known, state, put)
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{state}/known")
+
+
+def monthly(spark: SparkSession, path: str, state: str, late: str = "40 days") -> DataFrame:
+    """(month, event_type, n, mean) of readings as they arrive. A month is no window of fixed length, so the state is sums of
+    days, which close with the watermark; months add up the latest row of each day. Null values count but have no mean."""
+    x = _files(spark, path).withWatermark("ts", late).groupBy(F.window("ts", "1 day"), F.trunc("ts", "MONTH").alias("month"), "event_type")
+    days = x.agg(F.count("*").alias("n"), F.count("value").alias("k"), F.sum("value").alias("s")).select(F.col("window.start").alias("start"), "month", "event_type", "n", "k", "s")
+
+    def put(new: DataFrame, k: int) -> None:
+        new.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{state}/sums/batch-{k}")
+
+    _drain(days, state, put, "update")
+    x = spark.read.option("recursiveFileLookup", "true").parquet(f"{state}/sums")
+    x = x.groupBy("start", "month", "event_type").agg(F.max_by(F.struct("n", "k", "s"), "batch").alias("x"))
+    return x.groupBy("month", "event_type").agg(F.sum("x.n").alias("n"), (F.sum("x.s") / F.nullif(F.sum("x.k"), F.lit(0))).alias("mean"))
