@@ -88,6 +88,14 @@ def test_p_values_equal_integration(spark):
         assert r["p"] == pytest.approx(1 - 2 * np.trapezoid(f, x), abs=1e-7), (r["t"], n)
 
 
+def test_p_values_beside_an_alias(spark):
+    """An alias named like the statistic, in the same select, does not reach the p-value."""
+    x = spark.createDataFrame([(1.4921661242965794, 24)], "t double, df long")
+    p = choice.two_sided(F.col("t"), F.col("df"))
+    r = x.select(F.round("t", 1).alias("t"), p.alias("p")).first()
+    assert r["t"] == 1.5 and r["p"] == pytest.approx(0.148684950557, abs=1e-10)
+
+
 def test_names_of_vintages(spark):
     v = spark.createDataFrame([(-2,), (0,), (2,)], "v int")
     name = lambda *grid: [r[0] for r in v.select(texts.vintage_name(F.col("v"), *grid)).collect()]

@@ -113,11 +113,13 @@ def two_sided(t: Column, df: Column) -> Column:
     odd = df % 2 == 1
     terms = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
     steps = F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
-    grow = F.aggregate(
-        steps,
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
-        lambda s, k: F.struct((s["term"] * c2 * F.when(odd, 2 * k / (2 * k + 1.0)).otherwise((2 * k - 1) / (2.0 * k))).alias("term"), (s["sum"] + s["term"] * c2 * F.when(odd, 2 * k / (2 * k + 1.0)).otherwise((2 * k - 1) / (2.0 * k))).alias("sum")),
-        lambda s: s["sum"],
-    )
+    # the state carries all that the steps need: a column named in a lambda would mean an alias of that name in the same select
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), c2.alias("c2"), odd.alias("odd"))
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * s["c2"] * F.when(s["odd"], 2 * k / (2 * k + 1.0)).otherwise((2 * k - 1) / (2.0 * k))
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), s["c2"].alias("c2"), s["odd"].alias("odd"))
+
+    grow = F.aggregate(steps, start, step, lambda s: s["sum"])
     inside = F.when(odd, 2 / F.pi() * (angle + F.when(terms > 0, F.sin(angle) * F.cos(angle) * grow).otherwise(F.lit(0.0)))).otherwise(F.sin(angle) * grow)
     return F.when(df > 0, F.greatest(1 - inside, F.lit(0.0)))
