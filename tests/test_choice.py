@@ -211,3 +211,9 @@ def test_distance_weights(spark):
     assert got["2000-03-01"]["mean"] == 2.5 and got["2000-03-01"]["weighted"] == 1.0 and got["2000-03-01"]["n"] == 2
     same = m([("a", "x", 1.0, 2.0), ("b", "x", 3.0, 2.0)])
     assert same["x"]["weighted"] == 2.0
+
+
+def test_methods_in_the_race(spark):
+    rows = [("a", 5, 1.0, 0.9), ("a", 6, 1.0, 0.9), ("a", 7, 1.0, 1.2), ("b", 5, 1.0, 1.5), ("b", 6, None, None)]
+    got = {r["method"]: tuple(r)[1:] for r in choice.by_method(spark.createDataFrame(rows, SCORES)).collect()}
+    assert got == {"a": (2, 0.9, 5, 0.9), "b": (0, 1.5, 5, 1.5)}
