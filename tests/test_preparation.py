@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import compression, preparation
+from tidemark.sources import files
 
 DAYS = [dt.date(2000 + i // 12, i % 12 + 1, 1) for i in range(40)]
 
@@ -87,3 +88,9 @@ def test_compressed_columns_equal_numpy(spark):
     x = spark.createDataFrame([("a", d, float(k)) for d, k in zip(DAYS, v, strict=False)] + [("b", DAYS[11], 1.0)], "ticket string, date date, value double")
     got = {(r["ticket"], r["power"]): r["value"] for r in compression.compressed(x, spark.createDataFrame([(DAYS[11],)], "date date"), 6).collect()}
     assert got.keys() == {("a", 0), ("a", 1), ("a", 2)} and np.allclose([got["a", k] for k in range(3)], compression.legendre(6) @ v[11:5:-1])
+
+
+def test_months_before_the_first_year_have_no_date(spark):
+    rows = [("a", 1, "November", None, 1.0), ("a", 2, "December", None, 2.0), ("a", 3, "January", 1995, 3.0), ("a", 4, "February", None, 4.0), ("b", 1, "May", None, 5.0)]
+    got = files.named_months(spark.createDataFrame(rows, "ticket string, line int, month string, year int, value double"))
+    assert {r["value"]: r["date"] for r in got.collect()} == {1.0: None, 2.0: None, 3.0: dt.date(1995, 1, 1), 4.0: dt.date(1995, 2, 1), 5.0: None}

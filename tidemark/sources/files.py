@@ -71,10 +71,11 @@ def wide_months(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def named_months(rows: DataFrame) -> DataFrame:
-    """(ticket, date, value) of tables with month names and the year only in the row of January: it holds until the next."""
+    """(ticket, date, value) of tables with month names and the year only in the row of January: it holds until the next.
+    Rows before a series' first year have no date."""
     by = W.partitionBy("ticket").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     year = F.last("year", ignorenulls=True).over(by)
-    return rows.withColumn("year", year).select("ticket", F.to_date(F.concat_ws(" ", "year", "month"), "yyyy MMMM").alias("date"), "value")
+    return rows.withColumn("year", year).select("ticket", F.to_date(F.concat("year", F.lit(" "), "month"), "yyyy MMMM").alias("date"), "value")
 
 
 def upserted(stored: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
