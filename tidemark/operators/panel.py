@@ -173,10 +173,15 @@ def quarter_range(obs: DataFrame) -> DataFrame:
 
 
 def shock_quarters(obs: DataFrame, train_end: str, sigmas: float = 3.0) -> DataFrame:
-    """Quarters in which at least max(4, 5% of the series) have a minimum below mean - 3 sd of their training minima."""
+    """Quarters in which at least max(4, 5% of the series) have a minimum below mean - 3 sd of their training minima.
+
+    A minimum that equals that bound is not below it: what is within rounding (1e-13 of the bound's terms) counts as equal, so
+    that the order of summation decides nothing.
+    """
     q = quarter_range(obs)
     train = F.when(F.col("date") < F.to_date(F.lit(train_end)), F.col("low"))
-    q = q.withColumn("broken", (F.col("low") < F.avg(train).over(whole()) - sigmas * F.stddev_samp(train).over(whole())).cast("int"))
+    mean, off = F.avg(train).over(whole()), sigmas * F.stddev_samp(train).over(whole())
+    q = q.withColumn("broken", (F.col("low") < mean - off - 1e-13 * (F.abs(mean) + off)).cast("int"))
     q = q.groupBy("date").agg(F.count("*").alias("n"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"))
     return q.select("date", "n", "broken", (F.col("broken") >= F.greatest(F.lit(4), F.ceil(F.col("n") * 5 / 100))).alias("shock"))
 
