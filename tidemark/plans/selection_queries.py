@@ -95,7 +95,7 @@ def d12(s, d):
     from tidemark.operators import vintage
 
     g, y = _growths(s, d)
-    pairs = panel.pair_correlations(g.filter("growth is not null").withColumnRenamed("growth", "value"))
+    pairs = panel.pair_correlations(g.filter("growth is not null").withColumnRenamed("growth", "value"), least=0.5)
     return screens.pruned(vintage.screened(g, y, TEST).select("ticket", "score"), pairs, 0.5)
 
 
