@@ -27,3 +27,10 @@ def test_ranks_run_through(spark):
     target = spark.createDataFrame([(f"2000-{m + 1:02d}-01", float(v)) for m, v in enumerate(y)], "date string, growth double").withColumn("date", vintage.F.to_date("date"))
     out = vintage.screened(growth, target, "2001-01-01").collect()
     assert [r["rank"] for r in sorted(out, key=lambda r: (-r["score"], r["ticket"]))] == list(range(1, 241))
+
+
+def test_months_are_dealt_over_all_parts(spark):
+    obs = spark.range(2000).selectExpr("concat('S', id % 200) as ticket", "add_months(date'2000-01-01', cast(id div 200 as int)) as date", "cast(id as double) as value")
+    kinds = obs.select("ticket").distinct().withColumn("frequency", vintage.F.lit("monthly"))
+    out = panel.to_months(obs, kinds)
+    assert out.count() == 2000 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -138,7 +138,9 @@ def to_months(obs: DataFrame, kinds: DataFrame, yearly: str = "jan") -> DataFram
     if yearly not in ("jan", "ffill", "mean"):
         raise ValueError("yearly must be jan, ffill or mean")
     unit = F.when(F.col("frequency") == "quarterly", "QUARTER").when(F.col("frequency") == "yearly", "YEAR").otherwise("MONTH")
-    x = obs.filter("value is not null").join(kinds.select("ticket", "frequency"), "ticket", "left").withColumn("_u", unit)
+    # as many parts as the session has, for rows this short fill few parts by bytes and then large tables in each
+    seen = obs.filter("value is not null").repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticket")
+    x = seen.join(kinds.select("ticket", "frequency"), "ticket", "left").withColumn("_u", unit)
     at = F.when(F.col("_u") == "QUARTER", F.add_months(F.trunc("date", "QUARTER"), 2)).when(F.col("_u") == "YEAR", F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MONTH"))
     x = x.groupBy("ticket", "_u", at.alias("_at")).agg(F.max_by("value", "date").alias("value"))
     spread = F.when(F.col("_u") == "YEAR", F.sequence("_at", F.add_months("_at", 11), F.expr("interval 1 month"))).otherwise(F.array("_at"))
