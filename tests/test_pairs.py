@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 
-from tidemark.operators import panel
+from tests.conftest import SF
+from tidemark.operators import panel, screens
+from tidemark.plans import selection_queries
 
 
 def test_all_pairs_in_blocks(spark):
@@ -56,3 +58,20 @@ def test_only_near_pairs_leave_and_digits_stay(spark):
     assert all(r is None for p, r in got.items() if p not in want)
     near = {(r["a"], r["b"]) for r in panel.pair_correlations(df, least=0.4).collect()}
     assert near == {p for p, r in want.items() if abs(r) >= 0.4}
+
+
+def test_walk_meets_kept_series_only(spark, monkeypatch):
+    """The walk over series gives what the walk over all pairs gives: several blocks, ties, gaps, copies, series without values."""
+    rng, rows, scores = np.random.default_rng(7), [], []
+    base = rng.normal(0, 1, (12, 8))
+    for k in range(90):
+        v = base[k % 12] + rng.normal(0, 0.5, 8) if k % 9 else base[k % 12]
+        scores.append((f"S{k:02d}", float(rng.integers(0, 10))))
+        rows += [(f"S{k:02d}", datetime.date(2000 + t, 3, 1), float(x)) for t, x in enumerate(v) if t != k % 11 and k != 50]
+    df, s = spark.createDataFrame(rows, "ticket string, date date, value double"), spark.createDataFrame(scores, "ticket string, score double")
+    want = sorted(map(tuple, screens.pruned(s, panel.pair_correlations(df), 0.8).collect()))
+    monkeypatch.setattr(panel, "pair_correlations", None)
+    for block in (24, 2048):
+        assert sorted(map(tuple, screens.pruned_along(s, df, 0.8, block).collect())) == want
+    assert 12 <= len(want) < 80 and screens.pruned_along(s.limit(0), df, 0.8).count() == 0
+    assert selection_queries.d12(spark, SF).count() > 0

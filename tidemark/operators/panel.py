@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -225,20 +227,38 @@ def _block_correlations(t: pa.Table, least: float | None) -> pa.Table:
     t = t.combine_chunks()
     names = np.asarray(t.column("ticket").to_pylist(), object)
     order = np.argsort(names)
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
     names, block = pa.array(names[order], pa.string()), t.column("block").to_numpy()[order]
-    row = np.repeat(place, [len(d) for d in t.column("date")])
+    value, there = on_dates(t.take(pa.array(order)))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+    for k, n, r in correlated(value, there, left, right, i == j):
+        keep = n > 0
+        if least is not None:
+            keep &= np.abs(r) >= least
+        u, v = np.nonzero(keep)
+        out.append((np.minimum(k[u], right[v]), np.maximum(k[u], right[v]), n[u, v].astype(np.int64), r[u, v]))
+    a, b, n, r = (np.concatenate([o[c] for o in out]) if out else np.empty(0, d) for c, d in enumerate((np.int64, np.int64, np.int64, float)))
+    return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "n": pa.array(n), "r": pa.array(r, mask=np.isnan(r))})
+
+
+def on_dates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values and where there are some, series by the dates of all of them; t has arrays `date` and `value`, one row a series."""
+    t = t.combine_chunks()
+    row = np.repeat(np.arange(t.num_rows), [len(d) for d in t.column("date")])
     dates, col = np.unique(t.column("date").combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    value, there = np.zeros((len(names), len(dates))), np.zeros((len(names), len(dates)), bool)
+    value, there = np.zeros((t.num_rows, len(dates))), np.zeros((t.num_rows, len(dates)), bool)
     value[row, col], there[row, col] = t.column("value").combine_chunks().flatten().to_numpy(), True
+    return value, there
+
+
+def correlated(value: np.ndarray, there: np.ndarray, left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By up to 128 rows k of `left`: k, and against all rows of `right` the number of common dates and the correlation on
+    them, nan where either does not vary. With `once`, pairs whose left row is not the smaller one have no common dates."""
     # sums are of differences from each series' mean; series with values that are no finite numbers go the long way
     plain = np.isfinite(value).all(1)
     seen = there.astype(float)
     x = np.where(plain[:, None], value, 0.0)
     x = np.where(there, x - (x.sum(1) / np.maximum(seen.sum(1), 1))[:, None], 0.0)
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), []
     with np.errstate(all="ignore"):
         squares = x * x
         for s in range(0, len(left), 128):
@@ -247,21 +267,15 @@ def _block_correlations(t: pa.Table, least: float | None) -> pa.Table:
             xx, yy = squares[k] @ seen[right].T, seen[k] @ squares[right].T
             vx, vy = xx - sx * sx / n, yy - sy * sy / n
             r = (x[k] @ x[right].T - sx * sy / n) / np.sqrt(vx * vy)
+            if once:
+                n = np.where(k[:, None] < right, n, 0)
             # where little is left of the squares, r would lose digits
             far = ~((vx > 1e-5 * xx) & (vy > 1e-5 * yy)) | ~plain[k][:, None] | ~plain[right]
-            keep = n > 0
-            if i == j:
-                keep &= k[:, None] < right
-            long = np.argwhere(keep & far)
+            long = np.argwhere((n > 0) & far)
             for at in range(0, len(long), 20_000):
                 u, v = long[at : at + 20_000].T
                 r[u, v] = _pairwise(value, there, k[u], right[v])
-            if least is not None:
-                keep &= np.abs(r) >= least
-            u, v = np.nonzero(keep)
-            out.append((np.minimum(k[u], right[v]), np.maximum(k[u], right[v]), n[u, v].astype(np.int64), r[u, v]))
-    a, b, n, r = (np.concatenate([o[c] for o in out]) if out else np.empty(0, d) for c, d in enumerate((np.int64, np.int64, np.int64, float)))
-    return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "n": pa.array(n), "r": pa.array(r, mask=np.isnan(r))})
+            yield k, n, r
 
 
 def _pairwise(value: np.ndarray, there: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

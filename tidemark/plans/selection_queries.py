@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import panel, pool, screens
 from tidemark.plans.pool_queries import POOL, readings
 from tidemark.plans.queries import _SCREEN, TEST, _growths, query, rounded
+from tidemark.sources.files import written
 from tidemark.testbed import target
 
 FIRST = "1995-06-01"
@@ -95,8 +96,8 @@ def d12(s, d):
     from tidemark.operators import vintage
 
     g, y = _growths(s, d)
-    pairs = panel.pair_correlations(g.filter("growth is not null").withColumnRenamed("growth", "value"), least=0.5)
-    return screens.pruned(vintage.screened(g, y, TEST).select("ticket", "score"), pairs, 0.5)
+    g = written(g)
+    return screens.pruned_along(vintage.screened(g, y, TEST).select("ticket", "score"), g.filter("growth is not null").withColumnRenamed("growth", "value"), 0.5)
 
 
 _SHOCK = """, shock AS (SELECT min_by(date, growth) AS date, min(growth) AS actual FROM ygrowth WHERE growth IS NOT NULL),
