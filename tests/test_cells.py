@@ -275,3 +275,13 @@ def test_design_grid(spark):
     names = {r["spec"] for r in got}
     assert len(names) == len(got) and names == {"bench3", "bench3flats", "a6", "a6flats", "a6p5", "a6p3", "a6p5l2", "b4", "b4flats", "b4p3"}
     assert {(r["factors"], r["flat"], r["lags"]) for r in got if r["spec"] == "a6p5l2"} == {(5, 3, 2)}
+
+
+def test_only_asked_tickets_are_carried(spark):
+    """On the calendar of all tickets, as if all had been carried."""
+    rows = [(f"S{k}", f"{2000 + k // 3}-0{m}-01", float(k * m)) for k in range(9) for m in range(1, 10) if (k + m) % 4]
+    g = spark.createDataFrame(rows, "ticket string, date string, value double").withColumn("date", F.to_date("date"))
+    of = spark.createDataFrame([("S4",), ("S4",), ("S5",), ("S99",)], "ticket string")
+    want = cells.carried(g, "2003-03-01").filter("ticket in ('S4', 'S5')")
+    got = cells.carried(g, "2003-03-01", of=of)
+    assert got.count() == 2 * 39 and sorted(got.collect()) == sorted(want.collect())

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import months_between
 from tidemark.operators import vintage
 from tidemark.operators.estimators import LINES, Estimator, standardised
+from tidemark.sources.files import written
 
 #: Tickets that stand for the constant and for the target's own quarters.
 CONSTANT, OWN = "1", "y"
@@ -29,12 +30,15 @@ EPOCH = dt.date(1970, 1, 1)
 TABLE = "spec string, date date, estimator string, ticket string, lag int, beta double, instead double"
 
 
-def carried(growth: DataFrame, until: str | None = None, step: int = 1) -> DataFrame:
+def carried(growth: DataFrame, until: str | None = None, step: int = 1, of: DataFrame | None = None) -> DataFrame:
     """(ticket, date, value, seen) for every month, or every `step` months, from the panel's first to its last, or to `until`: the last observed value,
-    before the first one that one; seen is how many months were observed up to it. Tickets never observed drop out."""
+    before the first one that one; seen is how many months were observed up to it. Tickets never observed drop out. With `of`,
+    a table of few rows, only its tickets are carried, on the calendar of all."""
     g = growth.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("ticket", "date", F.col("value").cast("double").alias("value"))
     span = g.agg(F.min("date").alias("a"), F.greatest(F.max("date"), F.to_date(F.lit(until))).alias("b") if until else F.max("date").alias("b")).filter("a is not null")
     months = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {step} month"))).alias("date"))
+    if of is not None:
+        g = g.join(F.broadcast(of.select("ticket").distinct()), "ticket", "left_semi")
     x = g.select("ticket").distinct().join(F.broadcast(months)).join(g, ["ticket", "date"], "left")
     back, ahead = W.partitionBy("ticket").orderBy("date").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("ticket").orderBy("date").rowsBetween(0, W.unboundedFollowing)
     return x.select("ticket", "date", F.coalesce(F.last("value", True).over(back), F.first("value", True).over(ahead)).alias("value"), F.count("value").over(back).alias("seen"))
@@ -210,7 +214,7 @@ def readings(table: DataFrame, panel: DataFrame, meta: DataFrame, own: DataFrame
 def left_out(specs: DataFrame, members: DataFrame, panel: DataFrame, target: DataFrame, shock: str, after: str, meta: DataFrame) -> DataFrame:
     """(spec, estimator, shock_date, actual, predicted, residual): each cell refitted without a quarter inside its sample, and
     its error there. Cells are those of quarter `after`; the quarter is read with its months as they were in the end."""
-    table = coefficients(specs, members, panel, target, after, after, leave=shock)
+    table = written(coefficients(specs, members, panel, target, after, after, leave=shock))
     moved = table.withColumn("date", F.to_date(F.lit(shock)))
     none = meta.select("ticket", F.lit(-99).alias("months_lag"))
     own = target.filter("y is not null").select(F.add_months("date", 6).alias("d1"), F.add_months("date", 9).alias("d2"), "y")

@@ -23,10 +23,9 @@ def _y(s: SparkSession, d: str) -> DataFrame:
     return _growths(s, d)[1].withColumnRenamed("growth", "y")
 
 
-def months(s: SparkSession, d: str) -> DataFrame:
-    """Monthly growth of all suppliers, carried on to the target's last quarter."""
-    last = _y(s, d).agg(F.max("date")).first()[0]
-    return written(cells.carried(panel.monthly_growth(obs(s, d)).withColumnRenamed("growth", "value"), str(last)))
+def months(s: SparkSession, d: str, until: str, of: DataFrame) -> DataFrame:
+    """Monthly growth of the suppliers in `of`, few, carried on to a month, on the calendar of all suppliers."""
+    return written(cells.carried(panel.monthly_growth(written(obs(s, d))).withColumnRenamed("growth", "value"), until, of=of))
 
 
 def _quarters(s: SparkSession, d: str):
@@ -40,10 +39,10 @@ def _quarters(s: SparkSession, d: str):
 
 def members(s: SparkSession, d: str, keep: int = 40) -> DataFrame:
     """(method, ticket, rank) of the correlation and the t-statistic screen before the first test quarter."""
-    g, y = _growths(s, d)
+    g, y = (written(x) for x in _growths(s, d))
     one = s.createDataFrame([(dt.date.fromisoformat(TEST),)], "as_of date")
     t = race.ranked(rounded(screens.rolling_t_statistics(g, y, one), "score"), keep).select(F.lit("tstat").alias("method"), "ticket", "rank")
-    return vintage.screened(g, y, TEST).filter(F.col("rank") <= keep).select(F.lit("sis").alias("method"), "ticket", "rank").unionByName(t)
+    return written(vintage.screened(g, y, TEST).filter(F.col("rank") <= keep).select(F.lit("sis").alias("method"), "ticket", "rank").unionByName(t))
 
 
 @query("m05_entry_order", None)
@@ -90,9 +89,8 @@ def m10(s, d):
     return named(sis, "sis").unionByName(named(t, "tstat")).unionByName(named(m05(s, d), "lars"))
 
 
-def groups(s: SparkSession, d: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """(method, size, score): the screens' prefixes; the score falls with the mean rank in both screens together."""
-    m = members(s, d)
+def groups(m: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(method, size, score): prefixes of the screens' members; the score falls with the mean rank in both screens together."""
     both = m.groupBy("ticket").agg(F.count("*").alias("screens"))
     x = m.join(both, "ticket").withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("rank") <= F.col("size"))
     return x.groupBy("method", "size").agg((1 / F.sum("screens")).alias("score"))
@@ -110,11 +108,12 @@ FROM grp g, (VALUES ('', 0, 3, 0), ('flats', 0, 4, 0), ('p5', 5, 3, 0), ('p3', 3
 )
 def m13(s, d):
     """Every group in every design."""
-    return cells.designs(groups(s, d)).withColumn("estimators", F.array_join("estimators", " "))
+    return cells.designs(groups(members(s, d))).withColumn("estimators", F.array_join("estimators", " "))
 
 
 def _cells(s: SparkSession, d: str):
-    return cells.designs(groups(s, d)), members(s, d), months(s, d), _y(s, d)
+    m, y = members(s, d), written(_y(s, d))
+    return cells.designs(groups(m)), m, months(s, d, str(y.agg(F.max("date")).first()[0]), m), y
 
 
 @query("m16_elastic_net", None)
@@ -164,10 +163,10 @@ def m19(s, d):
 @query("m20_live_readings", None)
 def m20(s, d):
     """Quarters without a print at the cut, read with the last fitted lines."""
-    specs, m, x, y = _cells(s, d)
+    specs, m, _, y = _cells(s, d)
     cut, printed = "2001-07-01", "2001-03-01"
     known = y.filter(F.col("date") <= F.to_date(F.lit(printed)))
-    x = written(cells.carried(panel.monthly_growth(obs(s, d).filter(F.col("date") <= F.to_date(F.lit(cut)))).withColumnRenamed("growth", "value"), "2001-12-01"))
+    x = written(cells.carried(panel.monthly_growth(obs(s, d).filter(F.col("date") <= F.to_date(F.lit(cut)))).withColumnRenamed("growth", "value"), "2001-12-01", of=m))
     table = written(cells.coefficients(specs, m, x, known, printed, printed))
     at = cells.live_grid(known, cut, 2, "2001-12-01").filter(F.col("date") > F.to_date(F.lit(printed)))
     p = known.filter("y is not null").select(F.col("date").alias("p"), "y")

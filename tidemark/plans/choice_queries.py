@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import texts
 from tidemark.operators import accuracy, cells, choice, ensemble, estimators, panel, pool, race, vintage
 from tidemark.plans.accuracy_queries import ERRORS, y_growth
-from tidemark.plans.cell_queries import _MEMBERS, _quarters, _y, groups, m08, members
+from tidemark.plans.cell_queries import _MEMBERS, _quarters, _y, groups, m08, members, months
 from tidemark.plans.ensemble_queries import _ALL, _bands, regime_log
 from tidemark.plans.pool_queries import POOL, WEIGHTS, readings
 from tidemark.plans.queries import _SCREEN, QS, TEST, _growths, query, rounded
@@ -71,7 +71,7 @@ def m12(s, d):
     y = np.array([known.get(q, np.nan) for q in quarters if str(q) < TEST])
     skip = int(np.isnan(y[:1]).sum())
     rows = written(rows.select("ticket", F.slice("x", 1 + skip, len(y) - skip).alias("x"), F.slice("seen", 1 + skip, len(y) - skip).alias("seen")))
-    ranked = written(members(s, d))
+    ranked = members(s, d)
     agreed = written(choice.agreed(ranked, written(race.race(ranked, rows, y[skip:], (5, 40)))))
     scores = race.race(agreed.select(F.col("name").alias("method"), "ticket", "rank"), rows, y[skip:], (3, 40))
     return rounded(choice.kept(agreed, scores), "mse", "ratio")
@@ -117,15 +117,12 @@ def m29(s, d):
 # --- lines ------------------------------------------------------------------------------------------------------------
 
 
-def _months(s: SparkSession, d: str, until: str) -> DataFrame:
-    return written(cells.carried(panel.monthly_growth(obs(s, d)).withColumnRenamed("growth", "value"), until))
-
-
 @query("m27_contiguous_folds", None)
 def m27(s, d):
     """Ridge and lasso of each group at the first test quarter, their penalty by five folds of neighbouring quarters."""
-    specs = cells.designs(groups(s, d)).filter("factors = 0 and flat = 3").withColumn("estimators", F.array(*map(F.lit, estimators.FOLDED)))
-    table = cells.coefficients(specs, members(s, d), _months(s, d, TEST), _y(s, d), TEST, TEST, lines=estimators.FOLDED)
+    m = members(s, d)
+    specs = cells.designs(groups(m)).filter("factors = 0 and flat = 3").withColumn("estimators", F.array(*map(F.lit, estimators.FOLDED)))
+    table = cells.coefficients(specs, m, months(s, d, TEST, m), _y(s, d), TEST, TEST, lines=estimators.FOLDED)
     return rounded(table.filter((F.col("beta") != 0) | (F.col("ticket") == cells.CONSTANT)).select("spec", "estimator", "ticket", "lag", "beta"), "beta", places=5)
 
 
@@ -149,8 +146,9 @@ def own_cells(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     y = _y(s, d)
     y = y.filter("y is not null and date < date'%s'" % LIVE)
     spec = s.createDataFrame([(OWN, "sis", 4, 0, 3, 2, [OWN])], "spec string, method string, size int, factors int, flat int, lags int, estimators array<string>")
-    x = _months(s, d, LIVE)
-    table = written(cells.coefficients(spec, members(s, d), x, y, TEST, lines={OWN: steady}, live=LIVE))
+    m = members(s, d)
+    x = months(s, d, LIVE, m)
+    table = written(cells.coefficients(spec, m, x, y, TEST, lines={OWN: steady}, live=LIVE))
     asked = y.select("date", "y").unionByName(s.sql(f"select date'{LIVE}' as date, cast(null as double) as y"))
     p = y.select(F.col("date").alias("p"), "y")
     own = vintage.grid(asked).join(F.broadcast(p), (F.col("p") < F.col("date")) & (F.add_months("p", RELEASE) <= F.add_months("date", F.col("vintage"))))
@@ -242,7 +240,7 @@ FROM grp g, (VALUES ('', 0), ('flats', 0), ('p5', 5), ('p3', 3), ('p5l2', 5)) AS
 )
 def p18_resolved(s, d):
     """Names of specifications in their parts; `bench` is resolved to the method it stands for."""
-    specs = cells.designs(groups(s, d))
+    specs = cells.designs(groups(members(s, d)))
     stands = specs.filter(F.col("spec").startswith("bench")).select("spec", F.col("method").alias("stands"))
     x = specs.select("spec", *texts.spec_parts(F.col("spec"), r"^(sis|tstat|bench)([0-9]+)(flats|p5l2|p5|p3)?$")).join(F.broadcast(stands), "spec", "left")
     return x.select("spec", F.coalesce("stands", "method").alias("method"), "k", F.when(F.col("variant") == "", "base").otherwise(F.col("variant")).alias("variant"))
