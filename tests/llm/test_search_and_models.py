@@ -116,6 +116,44 @@ def test_exchange_gains_likelihood():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:])) == 1 and cls[0] != cls[10]
 
 
+def test_rest_goes_where_likelihood_gains_most():
+    """Gains of single moves against the whole sum, from a band and from a class, with words that follow themselves."""
+    g, size = np.random.default_rng(4), class_lm.K
+    cls = np.r_[class_lm.START, class_lm.END, g.integers(class_lm.FIRST - 3, class_lm.FIRST + 6, 40)]
+    pairs = g.integers(0, 9, (42, 42)) * (g.random((42, 42)) < 0.4) + np.diag(g.integers(0, 3, 42))
+    pairs[:, 0] = pairs[1] = 0
+
+    def whole(cls):
+        x = np.zeros((size, size))
+        np.add.at(x, (cls[:, None], cls[None, :]), pairs)
+        return x, class_lm._f(x).sum() - class_lm._f(x.sum(0)).sum() - class_lm._f(x.sum(1)).sum()
+
+    counts, _ = whole(cls)
+    cells = {}
+    for w in range(2, 42):
+        for o in range(42):
+            for key, n in ((2 * size if o == w else cls[o], pairs[w, o]), (size + cls[o], pairs[o, w] if o != w else 0)):
+                cells[(w - 2) * class_lm.CODES + key] = cells.get((w - 2) * class_lm.CODES + key, 0) + n
+    cell = np.array(sorted(k for k, n in cells.items() if n))
+    got = class_lm.best_classes(cell, np.array([cells[k] for k in cell]), cls[2:], counts)
+    for w in range(2, 42):
+        value = {k: whole(np.r_[cls[:w], k, cls[w + 1 :]])[1] for k in {*range(class_lm.FIRST, size), cls[w]}}
+        assert np.isclose(value[got[w - 2]], max(value.values()), rtol=1e-12)
+    assert (got != cls[2:]).any()
+
+
+def test_words_beyond_the_head_are_clustered(spark, monkeypatch):
+    """With two words in the head, other words come to classes of the exchange too."""
+    monkeypatch.setattr(class_lm, "EXCHANGED", 2)
+    ids = [i for i in range(400) if crc_text(str(i)) % 10]
+    docs = table(spark, [(i, " ".join(("the w%d" if k % 2 else "of v%d") % (k % 9) for k in range(i, i + 8))) for i in ids])
+    counts = class_lm.stored(class_lm.word_counts(docs))
+    vocab, _ = class_lm.vocabulary(counts, docs, len(ids))
+    cls = {r["word"]: r["cls"] for r in vocab.collect()}
+    rest = [c for w, c in cls.items() if w not in ("the", "of")]
+    assert len(rest) >= 9 and any(c >= class_lm.FIRST for c in rest)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
