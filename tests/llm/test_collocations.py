@@ -99,3 +99,10 @@ def test_exact_beyond_64_bits(spark):
     rows = [("en", "a", 9 * 10**12), ("en", "b", 7 * 10**12), ("en", "a b", 5 * 10**12)]
     got = C.scored(spark.createDataFrame(rows, "lang string, phrase string, f long")).first()
     assert got["score"] == 2_000_000 * 5 * 10**12 // (16 * 10**12)
+
+
+def test_copies_are_not_broadcast(spark, tmp_path):
+    """Spark sizes the copies of words as the packed table they come from: no join may broadcast them for that."""
+    spark.range(200).selectExpr("'en' as lang", "if(id % 2 = 0, concat('w', id), concat('w', id - 1, ' w', id - 1)) as phrase", "id + 30 as f").write.parquet(f"{tmp_path}/counted")
+    plan = C.without_parts(C.scored(spark.read.parquet(f"{tmp_path}/counted")))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Broadcast" not in plan

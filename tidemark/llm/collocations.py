@@ -251,7 +251,8 @@ def _phrase(words: Column, start: Column | int, length: Column | int) -> Column:
 def scored(counted: DataFrame) -> DataFrame:
     """(lang, phrase, words, a, l, r, score) of all candidates at their lowest cut. counted: (lang, phrase, f) of all lengths.
 
-    A word stands in many cuts, so words are looked up in SALTS copies."""
+    A word stands in many cuts, so words are looked up in SALTS copies. Spark sizes those as the stored table, which is packed
+    and has one copy, so it is told not to broadcast them."""
     c = counted.withColumnRenamed("f", "a").withColumn("words", F.split("phrase", " ")).filter(F.size("words") > 1)
     cuts = c.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     salt = lambda length: F.when(length == 1, F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).otherwise(0)
@@ -259,7 +260,7 @@ def scored(counted: DataFrame) -> DataFrame:
     cuts = cuts.withColumn("_s1", salt(F.col("k"))).withColumn("_s2", salt(F.size("words") - F.col("k")))
     copies = F.explode(F.when(F.instr("phrase", " ") == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     known = counted.select("lang", "phrase", "f", copies.alias("_s"))
-    named = lambda p, s, f: known.select("lang", F.col("phrase").alias(p), F.col("_s").alias(s), F.col("f").alias(f))
+    named = lambda p, s, f: known.select("lang", F.col("phrase").alias(p), F.col("_s").alias(s), F.col("f").alias(f)).hint("merge")
     cuts = cuts.join(named("_first", "_s1", "l"), ["lang", "_first", "_s1"]).join(named("_rest", "_s2", "r"), ["lang", "_rest", "_s2"])
     exact = lambda x: F.col(x).cast("decimal(19,0)")
     score = F.call_function("div", (exact("a") * F.lit(2_000_000).cast("decimal(7,0)")).cast("decimal(27,0)"), (exact("l") + exact("r")).cast("decimal(27,0)"))
@@ -272,7 +273,7 @@ def without_parts(candidates: DataFrame, share: int = SHARE) -> DataFrame:
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: _phrase(F.col("words"), i, n))))
     longer = candidates.filter(F.size("words") > 2).select("lang", F.explode(F.array_distinct(spans)).alias("phrase"), F.col("a").alias("_a"))
     longest = longer.groupBy("lang", "phrase").agg(F.max("_a").alias("_a"))
-    return candidates.join(longest, ["lang", "phrase"], "left").filter(F.col("_a").isNull() | (F.col("_a") * 100 < F.col("a") * share)).drop("_a")
+    return candidates.join(longest.hint("merge"), ["lang", "phrase"], "left").filter(F.col("_a").isNull() | (F.col("_a") * 100 < F.col("a") * share)).drop("_a")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> DataFrame:
