@@ -4,8 +4,8 @@ import random
 import numpy as np
 
 from tests.conftest import SF
-from tidemark.operators import panel, screens
-from tidemark.plans import selection_queries
+from tidemark.operators import panel, preparation, screens
+from tidemark.plans import cell_queries, selection_queries
 
 
 def test_all_pairs_in_blocks(spark):
@@ -75,3 +75,20 @@ def test_walk_meets_kept_series_only(spark, monkeypatch):
         assert sorted(map(tuple, screens.pruned_along(s, df, 0.8, block).collect())) == want
     assert 12 <= len(want) < 80 and screens.pruned_along(s.limit(0), df, 0.8).count() == 0
     assert selection_queries.d12(spark, SF).count() > 0
+
+
+def test_one_of_near_series_goes_without_a_table_of_pairs(spark, monkeypatch):
+    """The rounds over series give what the walk over all pairs gives: several rounds, ties, gaps, copies."""
+    rng, rows, facts = np.random.default_rng(9), [], []
+    base = rng.normal(0, 1, (12, 8))
+    for k in range(90):
+        v = base[k % 12] + rng.normal(0, 0.5, 8) if k % 9 else base[k % 12]
+        facts.append((f"S{k:02d}", bool(rng.integers(0, 4) == 0), int(rng.integers(7, 10))))
+        rows += [(f"S{k:02d}", datetime.date(2000 + t, 3, 1), float(x)) for t, x in enumerate(v) if t != k % 11]
+    df, f = spark.createDataFrame(rows, "ticket string, date date, value double"), spark.createDataFrame(facts, "ticket string, aggregate boolean, length long")
+    want = sorted(map(tuple, preparation.deduped(f, panel.pair_correlations(df), 0.6).collect()))
+    monkeypatch.setattr(panel, "pair_correlations", None)
+    for block in (13, 4096):
+        assert sorted(map(tuple, preparation.deduped_along(f, df, 0.6, block).collect())) == want
+    assert 40 < len(want) < 90 and preparation.deduped_along(f.limit(0), df, 0.6).count() == 0
+    assert cell_queries.d13(spark, SF).count() > 0

@@ -218,7 +218,7 @@ def d13(s, d):
     """Of suppliers whose quarterly growths correlate beyond 0.5, one goes; every tenth supplier is an aggregate."""
     g = _growths(s, d)[0].filter("growth is not null")
     facts = g.groupBy("ticket").agg(F.count("*").alias("length")).withColumn("aggregate", F.substring("ticket", -1, 1) == "0")
-    return preparation.deduped(facts, panel.pair_correlations(g.withColumnRenamed("growth", "value"), least=0.5), 0.5)
+    return preparation.deduped_along(facts, g.withColumnRenamed("growth", "value"), 0.5)
 
 
 @query("f05_normal_quantile", None)
