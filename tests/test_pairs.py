@@ -2,6 +2,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF
 from tidemark.operators import panel, preparation, screens
@@ -92,3 +93,11 @@ def test_one_of_near_series_goes_without_a_table_of_pairs(spark, monkeypatch):
         assert sorted(map(tuple, preparation.deduped_along(f, df, 0.6, block).collect())) == want
     assert 40 < len(want) < 90 and preparation.deduped_along(f.limit(0), df, 0.6).count() == 0
     assert cell_queries.d13(spark, SF).count() > 0
+
+
+def test_pairs_of_a_block_leave_in_parts():
+    """Blocks are large, so that series are sent to few; what a task holds does not grow with the square of its block."""
+    rng, n = np.random.default_rng(3), 300
+    t = pa.table({"i": [0] * n, "j": [0] * n, "block": pa.array([0] * n, pa.int32()), "ticket": [f"S{k:03d}" for k in range(n)], "date": [list(range(6))] * n, "value": rng.normal(0, 1, (n, 6)).tolist()})
+    parts = list(panel._block_correlations(t, None))
+    assert len(parts) == 3 and sum(len(b) for b in parts) == n * (n - 1) // 2
